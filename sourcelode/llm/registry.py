@@ -7,6 +7,7 @@ import importlib
 #: Module of each registered query; the modules hold operator, query and SQL together.
 _MODULES = {
     "op4_quality_rules": "quality_rules",
+    "op5_sentencepiece": "sentencepiece_codec",
     "op6_simhash": "simhash",
     "op8_token_counts": "token_counts",
 }
