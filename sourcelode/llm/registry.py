@@ -6,10 +6,13 @@ import importlib
 
 #: Module of each registered query; the modules hold operator, query and SQL together.
 _MODULES = {
+    "op3_toxicity": "toxicity",
     "op4_quality_rules": "quality_rules",
     "op5_sentencepiece": "sentencepiece_codec",
     "op6_simhash": "simhash",
+    "op7_quality_classifier": "quality_classifier",
     "op8_token_counts": "token_counts",
+    "op9_mixing": "mixing",
 }
 
 
