@@ -15,6 +15,7 @@ empty result; further columns of the input are ignored.
 from __future__ import annotations
 
 import json
+import os
 from collections import Counter
 
 import public_tokenizers
@@ -24,13 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import slim, table
 
-SAMPLE_DOCS, TABLE_SIZE, CACHE_SIZE, CHUNK_CHARS = 1024, 65_536, 1_000_000, 500_000
+SAMPLE_DOCS, TABLE_SIZE, CACHE_SIZE, CHUNK_CHARS = 1024, 65_536, 250_000, 250_000
 
 
 class ByteLevelCounter:
     """Counts tokens of texts for a byte-level BPE file with the usual contraction-aware pre-tokens."""
 
     def __init__(self, path: str, frequent: dict[str, int] | None = None, cache_size: int = CACHE_SIZE):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores already
         import regex
         from tokenizers import Tokenizer
 
@@ -89,7 +91,7 @@ def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS,
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 seen.update(counter.split(text or "")[0])
-                if len(seen) > 20 * table_size:  # keep a bound on what one task holds
+                if len(seen) > 4 * table_size:  # keep a bound on what one task holds
                     seen = Counter(dict(seen.most_common(table_size)))
         top = seen.most_common(table_size)
         yield pa.RecordBatch.from_pydict({"piece": pa.array([p for p, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
