@@ -28,7 +28,7 @@ from .common import slim, table
 
 MARK = "▁"
 NONE = np.int64(1 << 40)
-CHUNK_CHARS, CACHE_SIZE, PAIR_CACHE = 2_000_000, 200_000, 1 << 20
+CHUNK_CHARS, LEARN_CHARS, CACHE_SIZE, PAIR_CACHE = 500_000, 150_000, 100_000, 1 << 20
 
 
 class Pieces:
@@ -169,9 +169,16 @@ class Codec:
         """Encode the segments that the cache lacks."""
         if len(self.cache) > self.cache_size:
             self.cache = {"": b""}
-        new = list(segments.difference(self.cache))
-        if not new:
-            return
+        some, size = [], 0
+        for x in segments.difference(self.cache):
+            some.append(x)
+            if (size := size + len(x)) > LEARN_CHARS:  # bounds the lattice held at once
+                self._learn(some)
+                some, size = [], 0
+        if some:
+            self._learn(some)
+
+    def _learn(self, new: list[str]) -> None:
         p, raw = self.p, [s.encode() for s in new]
         size = np.array([len(b) for b in raw])
         start = np.r_[0, np.cumsum(size + 1)[:-1]]
@@ -270,27 +277,25 @@ def encode(docs: DataFrame, path: str, cache_size: int = CACHE_SIZE, id_col: str
     def run(batches):
         codec = Codec(path, cache_size)
         for batch in batches:
-            parts, sizes, trips, held, chars = [], [0], [], [], 0
+            at, held, chars = 0, [], 0
 
             def flush():
                 codec.learn({x for _, segments in held for x in segments})
-                for text, segments in held:
-                    ids = codec.join(segments)
-                    parts.append(ids)
-                    sizes.append(len(ids))
-                    trips.append(codec.decode(ids.tolist()) == text)
-                held.clear()
+                ids = [codec.join(segments) for _, segments in held]
+                trips = [codec.decode(x.tolist()) == text for x, (text, _) in zip(ids, held)]
+                sizes = np.array([len(x) for x in ids], np.int64)
+                values = np.concatenate(ids) if ids else np.empty(0, np.int32)
+                pieces = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values, pa.int32()))
+                columns = [batch.column(0).slice(at, len(held)), pieces, pa.array(sizes), pa.array(trips, pa.bool_())]
+                return pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_pieces", "round_trip"])
 
             for text in batch.column(1):
                 text = text.as_py() or ""
                 held.append((text, codec.segments(text)))
                 if (chars := chars + len(text)) > CHUNK_CHARS:
-                    flush()
-                    chars = 0
-            flush()
-            values = np.concatenate(parts) if parts else np.empty(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(sizes[1:], pa.int64()), pa.array(trips, pa.bool_())], ["doc_id", "ids", "n_pieces", "round_trip"])
+                    yield flush()
+                    at, held, chars = at + len(held), [], 0
+            yield flush()
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_pieces long, round_trip boolean")
 
