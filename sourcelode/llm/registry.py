@@ -7,6 +7,7 @@ import importlib
 #: Module of each registered query; the modules hold operator, query and SQL together.
 _MODULES = {
     "op1_lm_scoring": "lm_scoring",
+    "op2_language_id": "language_id",
     "op3_toxicity": "toxicity",
     "op4_quality_rules": "quality_rules",
     "op5_sentencepiece": "sentencepiece_codec",
