@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, slim, table, words_of
+from .common import SPACE, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -88,16 +88,17 @@ def _repeat_words(h: Column) -> Column:
     return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(bound)
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document the counts and ratios that rules can refer to."""
-    d = slim(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> DataFrame:
+    """Per document the counts and ratios that rules can refer to; carry comes out as the column row."""
+    d = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), (F.lit(None) if carry is None else carry).alias("row"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    d = d.select("doc_id", "text", words_of(F.col("text")).alias("words"), lines.alias("lines"))
+    d = d.select("doc_id", "text", "row", words_of(F.col("text")).alias("words"), lines.alias("lines"))
     hashed = F.transform(
         F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("words"), i, WINDOW))
     )
     d = d.select(
         "doc_id",
+        "row",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -131,13 +132,18 @@ def compile_rules(rules=RULES) -> Column:
     return out
 
 
-def quality_rules(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> DataFrame:
     """measure() with base_failed and the verdict kept."""
-    m = measure(docs, id_col, text_col)
+    m = measure(docs, id_col, text_col, carry)
     m = m.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     return m.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
 
 
+def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns."""
+    return quality_rules(docs, rules, carry=F.struct(*[docs[c] for c in docs.columns])).where("kept").select("row.*")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality_rules(table(spark, sf_dir, "documents"))
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

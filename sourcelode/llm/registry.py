@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+import corpus_pipeline
+
 #: Module of each registered query; the modules hold operator, query and SQL together.
 _MODULES = {
     "op1_lm_scoring": "lm_scoring",
@@ -23,7 +25,7 @@ def _module(name: str):
 
 
 def queries() -> dict:
-    return {name: getattr(_module(name), name) for name in _MODULES}
+    return {name: getattr(_module(name), name) for name in _MODULES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

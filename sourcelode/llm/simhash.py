@@ -201,6 +201,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(materialise(final, "classes"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs without all but one of each near-duplicate component: the one of least id (a null id only if there is no other).
+
+    Rows are told apart by id and text; equal rows count as copies.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    near = near_duplicates(docs.select(key.alias("doc_id"), "text"))
+    stay = near.where("doc_id = component_id").select(F.col("doc_id.none").alias("_none"), F.col("doc_id.id").alias("_id"), F.col("doc_id.h").alias("_h"))
+    keyed = docs.select("*", key["none"].alias("_none"), key["id"].alias("_id"), key["h"].alias("_h"))
+    names = ["_none", "_id", "_h"]
+    return keyed.join(stay, names, "left_semi").dropDuplicates(names).select(*docs.columns)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = near_duplicates(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

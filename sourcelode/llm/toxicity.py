@@ -133,5 +133,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: i
     return out.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = MAX_LABELLED) -> DataFrame:
+    """The rows of docs that score below threshold, with all their columns; no join back by id."""
+    features, score = fit(slim(docs), labels, most)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = np.array([features(t.as_py() or "") for t in b.column(at)])
+                yield b.filter(pa.array(np.clip(score(x), 0.0, 1.0) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
