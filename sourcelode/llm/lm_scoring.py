@@ -159,9 +159,17 @@ def _pack(bits: int):
     return run
 
 
-def _positions(h: np.ndarray, level, n_bits: np.ndarray, probe: int) -> np.ndarray:
-    x = mixed(h + np.array([2 * probe + 1], np.uint64) * _A + np.atleast_1d(level).astype(np.uint64) * START)
-    return (x % n_bits.astype(np.uint64)).astype(np.int64)
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+def _level_hash(h: np.ndarray, level: int) -> np.ndarray:
+    return mixed(h + np.array([level], np.uint64) * START)
+
+
+def _positions(x: np.ndarray, n_bits: np.ndarray, probe: int) -> np.ndarray:
+    """Bit of a probe, from a level's hash: double hashing on its halves, scaled to fewer than 2 ** 32 bits."""
+    y = (x + (x >> np.uint64(32) | np.uint64(1)) * np.array([probe], np.uint64)) & _LOW
+    return (y * n_bits >> np.uint64(32)).astype(np.int64)
 
 
 def segment(h: np.ndarray, counts: np.ndarray, most_bytes: int) -> tuple[bytes, int]:
@@ -172,11 +180,11 @@ def segment(h: np.ndarray, counts: np.ndarray, most_bytes: int) -> tuple[bytes,
         least += 1
         h, level, counts = h[counts >= least], level[counts >= least], counts[counts >= least]
     bits = np.zeros(size(), np.uint8)
-    n_bits = np.array(8 * len(bits))
+    n_bits = np.array([8 * len(bits)], np.uint64)
     for q in range(1, int(level.max(initial=0)) + 1):
-        some = h[level >= q]
+        some = _level_hash(h[level >= q], q)
         for probe in range(PROBES):
-            at = _positions(some, q, n_bits, probe)
+            at = _positions(some, n_bits, probe)
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
     return bits.tobytes(), least
 
@@ -212,8 +220,7 @@ def _reduce(bits: int, max_filter_mb: int):
                 made.append((SUMS, shard, r["chunk"], np.bincount(doc, times * log[which]).tobytes(), _narrow(np.bincount(doc, times * known[which]).astype(np.int64)), int(doc.max()) + 1, 0, 0.0, None, None))
             word, total = word[known], total[known]
             filled, least = segment(word, total, share // 4)
-            kept = total >= least
-            z = float(VALUE[level_of(total[kept])].sum() + (least / 2 * (~kept).sum() if least > 1 else 0))
+            z = float(VALUE[level_of(total[total >= least])].sum())
             made.append((WORDS, shard, least, filled, None, int(total.sum()), len(word), z, None, None))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made), out)], schema=out)
 
@@ -227,8 +234,7 @@ class Filter:
         self.bits, self.width = bits, width
         parts = [segments.get(s, (bytes(8), 1)) for s in range(1 << bits)]
         sizes = np.array([len(p) for p, _ in parts], np.int64)
-        self.size, self.offset = 8 * sizes, 8 * np.r_[0, np.cumsum(sizes)[:-1]]
-        self.least = np.array([t for _, t in parts], np.int64)
+        self.size, self.offset = (8 * sizes).astype(np.uint64), 8 * np.r_[0, np.cumsum(sizes)[:-1]]
         self.raw = b"".join(p for p, _ in parts)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
@@ -236,64 +242,64 @@ class Filter:
         raw = np.frombuffer(self.raw, np.uint8)
         shard = (h >> np.uint64(self.width - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
         size, offset = self.size[shard], self.offset[shard]
-        out, at = np.zeros(len(h), np.int64), np.arange(len(h))
+        out, at = np.zeros(len(h), np.uint8), np.arange(len(h))
         for q in range(1, LEVELS + 1):
+            x = _level_hash(h, q)
             for probe in range(PROBES):
-                x = offset[at] + _positions(h[at], q, size[at], probe)
-                at = at[(raw[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1]
+                bit = offset + _positions(x, size, probe)
+                hit = np.flatnonzero((raw[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+                if len(hit) < len(at):
+                    at, h, x, size, offset = at[hit], h[hit], x[hit], size[hit], offset[hit]
             if not len(at):
                 break
             out[at] = q
         return out
 
-    def counts(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Levels, and the counts they stand for."""
-        level = self.levels(h)
-        value = VALUE[level]
-        if (self.least > 1).any():
-            shard = (h >> np.uint64(self.width - self.bits)).astype(np.int64)
-            value = np.where((level == 0) & (self.least[shard] > 1), self.least[shard] / 2, value)
-        return level, value
+
+@dataclass
+class Evidence:
+    """Levels of the words and pairs of some documents' tokens, in order."""
+
+    words: np.ndarray
+    pairs: np.ndarray
+    n_tokens: np.ndarray
 
 
 @dataclass
 class Model:
     """Everything a worker needs: both filters, the normaliser and the mixing weights by context level."""
 
-    words: Filter
-    pairs: Filter
+    words: Filter | None
+    pairs: Filter | None
     z: float
     v: int
     n_docs: int
     weight: np.ndarray | None = None
 
-    def evidence(self, c: Chunk):
-        """Per token: count of the word, of the context (with its level) and of the pair, as the filters give them."""
+    def probe(self, c: Chunk) -> Evidence:
+        """Looks every distinct word and pair up in the filters once."""
         words, back = np.unique(c.hashes, return_inverse=True)
-        level, count = self.words.counts(words)
-        pair, before = c.pairs()
-        some, which = np.unique(pair >> np.uint64(16), return_inverse=True)
-        seen, times = self.pairs.counts(some)
-        times = np.where(seen > 0, times, 0.0)  # an unseen pair is left to the word estimate
-        starting = before == START
-        prior = np.r_[0, back[:-1]]
-        n_start = np.array([self.n_docs])
-        start_level = int(level_of(n_start)[0]) if self.n_docs else 0
-        context = np.where(starting, self.n_docs, count[prior])
-        context_level = np.where(starting, start_level, level[prior])
-        return count[back], context, context_level, np.minimum(times[which], np.minimum(count[back], context))
+        pairs, which = np.unique(c.pairs()[0] >> np.uint64(16), return_inverse=True)
+        return Evidence(self.words.levels(words)[back], self.pairs.levels(pairs)[which], c.n_tokens)
+
+    def estimates(self, e: Evidence):
+        """Per token: count of the word, of the context (with its level) and of the pair, as the levels stand for them."""
+        level = np.r_[0, e.words[:-1]].astype(np.int64)
+        first = np.cumsum(e.n_tokens) - e.n_tokens
+        level[first] = int(level_of(np.array([self.n_docs]))[0]) if self.n_docs else 0
+        count, context = VALUE[e.words], VALUE[level]
+        return count, context, level, np.minimum(VALUE[e.pairs], np.minimum(count, context))
 
     def word_probability(self, count):
         return (count + FLOOR) / (self.z + FLOOR * (self.v + 1))
 
-    def histogram(self, c: Chunk) -> np.ndarray:
-        """Training tokens by context level and ratio of the pair estimate to the word estimate, each token left out of its counts."""
-        count, context, level, times = self.evidence(c)
+    def histogram(self, e: Evidence) -> np.ndarray:
+        """Tokens by context level and ratio of the pair estimate to the word estimate, each token left out of its counts."""
+        count, context, level, times = self.estimates(e)
         p = self.word_probability(np.maximum(count - 1, 0))
         q = np.maximum(times - 1, 0) / np.maximum(context - 1, 1)
         ratio = np.where(q > 0, np.clip(np.floor(np.log2(np.maximum(q, 1e-300) / p)) + 25, 1, RATIO_BINS), 0).astype(np.int64)
-        use = c.train[c.doc]
-        return np.bincount((level * (RATIO_BINS + 1) + ratio)[use], minlength=(LEVELS + 1) * (RATIO_BINS + 1))
+        return np.bincount(level * (RATIO_BINS + 1) + ratio, minlength=(LEVELS + 1) * (RATIO_BINS + 1))
 
     def fit_weights(self, table: np.ndarray) -> None:
         """Expectation maximisation of one weight per context level over the whole histogram."""
@@ -306,11 +312,16 @@ class Model:
         w[0] = 0.0
         self.weight = w
 
-    def scores(self, c: Chunk) -> np.ndarray:
-        count, context, level, times = self.evidence(c)
+    def scores(self, e: Evidence) -> np.ndarray:
+        count, context, level, times = self.estimates(e)
         w = self.weight[level]
         p = w * times / np.maximum(context, 1) + (1 - w) * self.word_probability(count)
-        return np.bincount(c.doc, np.log10(p), len(c.n_tokens))
+        return np.bincount(np.repeat(np.arange(len(e.n_tokens)), e.n_tokens), np.log10(p), len(e.n_tokens))
+
+
+def _evidence(words: pa.Array, pairs: pa.Array) -> Evidence:
+    w, p = words.to_pylist(), pairs.to_pylist()
+    return Evidence(np.frombuffer(b"".join(w), np.uint8), np.frombuffer(b"".join(p), np.uint8), np.array([len(x) for x in w], np.int64))
 
 
 def lm_scores(docs: DataFrame, train_fold=None, max_filter_mb: int = MAX_FILTER_MB, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,26 +347,43 @@ def lm_scores(docs: DataFrame, train_fold=None, max_filter_mb: int = MAX_FILTER_
     model = Model(Filter(bits, found.pop(WORDS), 64), Filter(bits, found.pop(PAIRS), 48), z, n_words, n_docs)
     filled = spark.sparkContext.broadcast(model)
 
+    def probe(batches):
+        for ids, keys, c in chunks(batches):
+            e = filled.value.probe(c)
+            ends = np.cumsum(e.n_tokens).tolist()
+            cut = [(a, b) for a, b in zip([0, *ends], ends)]
+            w, p = e.words.tobytes(), e.pairs.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(c.train), pa.array([w[a:b] for a, b in cut], pa.binary()), pa.array([p[a:b] for a, b in cut], pa.binary())],
+                ["doc_id", "thash", "train", "words", "pairs"],
+            )
+
+    # two bytes a token, read twice: to fit the weights, and to score
+    probed = materialise(rows.mapInArrow(probe, "doc_id long, thash long, train boolean, words binary, pairs binary"), "lm-levels")
+    model.words = model.pairs = None
+    plain = spark.sparkContext.broadcast(model)
+
     def tally(batches):
         total = np.zeros((LEVELS + 1) * (RATIO_BINS + 1), np.int64)
-        for _, _, c in chunks(batches):
-            total += filled.value.histogram(c)
+        for b in batches:
+            total += plain.value.histogram(_evidence(b.column(0), b.column(1)))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
     table = np.zeros((LEVELS + 1) * (RATIO_BINS + 1))
-    for r in rows.where("train").mapInArrow(tally, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for r in probed.where("train").select("words", "pairs").mapInArrow(tally, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         table[r["at"]] = r["n"]
     model.fit_weights(table)
     weight = model.weight
 
     def score(batches):
-        m = filled.value
+        m = plain.value
         m.weight = weight
-        for ids, keys, c in chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(c.train), pa.array(c.n_tokens), pa.array(m.scores(c))], ["doc_id", "thash", "train", "n_tokens", "score"])
+        for b in batches:
+            e = _evidence(b.column(3), b.column(4))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(e.n_tokens), pa.array(m.scores(e))], ["doc_id", "thash", "train", "n_tokens", "score"])
 
-    scored = rows.mapInArrow(score, "doc_id long, thash long, train boolean, n_tokens long, score double")
+    scored = probed.mapInArrow(score, "doc_id long, thash long, train boolean, n_tokens long, score double")
     bottom = math.log10(n_tokens + FLOOR * (n_words + 1))
 
     def base(table: pa.Table) -> pa.Table:
