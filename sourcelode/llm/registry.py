@@ -17,6 +17,7 @@ _MODULES = {
     "op7_quality_classifier": "quality_classifier",
     "op8_token_counts": "token_counts",
     "op9_mixing": "mixing",
+    "op10_topk_search": "bm25_search",
 }
 
 
