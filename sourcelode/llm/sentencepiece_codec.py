@@ -98,8 +98,9 @@ def suffix_ranges(text: np.ndarray, pieces: list[tuple[bytes, int]]) -> tuple[np
             out = out << np.uint64(8) | padded[at + k].astype(np.uint64)
         return out
 
-    def search(at, depth, some):
-        """at: suffixes that share the first depth bytes with the pieces in some."""
+    todo = [(np.arange(len(text)), 0, pieces)]
+    while todo:
+        at, depth, some = todo.pop()  # suffixes that share their first depth bytes with the pieces in some
         key = words(at + depth)
         by = np.argsort(key)
         at, key = at[by], key[by]
@@ -114,14 +115,11 @@ def suffix_ranges(text: np.ndarray, pieces: list[tuple[bytes, int]]) -> tuple[np
                     short.append(n)
                 else:
                     deeper.setdefault((int(lo[n]), int(hi[n])), []).append(some[n])
+        todo += [(at[a:b], depth + 8, rest) for (a, b), rest in deeper.items()]
         if short:
             lo, size = lo[short], hi[short] - lo[short]
             rank = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
             found.append((at[rank], np.repeat([len(some[n][0]) for n in short], size), np.repeat([some[n][1] for n in short], size)))
-        for (a, b), rest in deeper.items():
-            search(at[a:b], depth + 8, rest)
-
-    search(np.arange(len(text)), 0, pieces)
     if not found:
         return (np.empty(0, np.int64),) * 3
     return tuple(np.concatenate(x) for x in zip(*found))
