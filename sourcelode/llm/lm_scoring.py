@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import FOLD, fold_of, materialise, slim, table
 
-CHUNK_BYTES, CHUNK_DOCS, PROBES, BASE, MAX_FILTER_MB = 6_000_000, 60_000, 6, 1.5, 96
+CHUNK_BYTES, CHUNK_DOCS, PROBES, BASE, MAX_FILTER_MB = 6_000_000, 60_000, 5, 1.5, 128
 DOCS_PER_SHARD = 4000
 FLOOR = 0.1
 START = np.uint64(0x9E3779B97F4A7C15)
