@@ -87,3 +87,17 @@ def layer_violations(edges: DataFrame, layers: list[tuple[str, list[str], list[s
     allowed = F.create_map(*[x for name, _, ok in layers for x in (F.lit(name), F.array(*map(F.lit, [name, *ok])))])
     e = edges.withColumns({"src_layer": layer_of(F.col("src"), layers), "dst_layer": layer_of(F.col("dst"), layers)})
     return e.where("src_layer is not null and dst_layer is not null").where(~F.array_contains(allowed[F.col("src_layer")], F.col("dst_layer")))
+
+
+def levels(edges: DataFrame, most: int = 1000) -> DataFrame:
+    """node and level of a dependency order (src depends on dst): nodes of a level depend on lower ones only; nodes on or above a cycle have none."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    left, out = materialise(nodes, "levels"), None
+    for level in range(most):
+        alive = edges.join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        free = materialise(left.join(alive, "node", "left_anti").withColumn("level", F.lit(level)), "levels")
+        if free.isEmpty():
+            break
+        out = free if out is None else out.unionByName(free)
+        left = materialise(left.join(free.select("node"), "node", "left_anti"), "levels")
+    return free if out is None else out

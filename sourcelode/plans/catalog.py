@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.exprlang import to_column
-from ..operators import baseline, fixes, graph, metrics, rules, similarity, suppress
+from ..operators import baseline, complexity, fixes, graph, metrics, rules, similarity, suppress
 from ..session import table
 from ..sources import sinks, text
+from ..streaming import cache
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -399,3 +400,69 @@ def sink_prometheus(spark, sf):
 @query(f"WITH {_EDGES} SELECT '  \"' || src || '\" -> \"' || dst || '\";' AS value FROM E")
 def sink_dot(spark, sf):
     return sinks.dot_rows(_edges(spark, sf))
+
+
+def _dag(spark, sf):
+    n = table(spark, sf, "nation")
+    return n.where("n_nationkey > 0").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("n"), F.expr("n_nationkey div 2")).alias("dst"))
+
+
+@query("WITH RECURSIVE E AS (SELECT 'n' || n_nationkey AS src, 'n' || (n_nationkey // 2) AS dst FROM nation WHERE n_nationkey > 0), R(node, level) AS (SELECT 'n0', 0 UNION ALL SELECT src, level + 1 FROM R JOIN E ON dst = node) SELECT node, max(level)::INTEGER AS level FROM R GROUP BY node")
+def dependency_levels(spark, sf):
+    return graph.levels(_dag(spark, sf))
+
+
+@query("WITH RECURSIVE E AS (SELECT 'n' || n_nationkey AS src, 'n' || (n_nationkey // 2) AS dst FROM nation WHERE n_nationkey > 0), R(node) AS (SELECT 'n3' UNION SELECT src FROM R JOIN E ON dst = node) SELECT node FROM R")
+def cache_invalidation(spark, sf):
+    return cache.invalidated(spark.createDataFrame([("n3",)], "path string"), _dag(spark, sf))
+
+
+@query("SELECT doc_id, (1 + n_case + n_if + n_guard + greatest(0, n_arrow - n_case))::BIGINT AS cyclomatic FROM (SELECT doc_id, (length(text) - length(replace(text, 'case ', ''))) / 5 AS n_case, (length(text) - length(replace(text, 'if ', ''))) / 3 AS n_if, (length(text) - length(replace(text, ' | ', ''))) / 3 AS n_guard, (length(text) - length(replace(text, ' -> ', ''))) / 4 AS n_arrow FROM documents)")
+def cyclomatic(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", complexity.cyclomatic(F.col("text")).alias("cyclomatic"))
+
+
+@query("WITH A AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 7 <> 0), B AS (SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0) SELECT CASE WHEN A.h IS NULL THEN 'added' WHEN B.h IS NULL THEN 'removed' WHEN A.h <> B.h THEN 'changed' ELSE 'same' END AS change, count(*) AS n FROM A FULL JOIN B USING (doc_id) GROUP BY 1")
+def file_changes(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    old = cache.content_hash(d.where("path % 7 <> 0"))
+    new = cache.content_hash(d.where("path % 11 <> 0").withColumn("content", F.when(F.col("path") % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))))
+    return cache.changes(old, new).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_H + ", B AS (SELECT * FROM H WHERE file_id % 3 = 0), N AS (SELECT file_id::VARCHAR AS file, rule, count(*) AS n FROM H GROUP BY ALL), O AS (SELECT file_id::VARCHAR AS file, rule, count(*) AS n FROM B GROUP BY ALL) SELECT sum(N.n - coalesce(O.n, 0))::BIGINT AS new, sum(coalesce(O.n, 0))::BIGINT AS existing, 0::BIGINT AS resolved, 0::BIGINT AS expired, sum(N.n - coalesce(O.n, 0)) <= 0 AS passed FROM N LEFT JOIN O USING (file, rule)")
+def ci_gate(spark, sf):
+    """Findings of all files against a baseline of a third of them."""
+    h = _hits(spark, sf).select("file_id", F.col("file_id").cast("string").alias("file"), "rule", F.lit("m").alias("message"), F.col("line_no").alias("line"))
+    return baseline.gate(baseline.diff(h.drop("file_id"), h.where("file_id % 3 = 0").drop("file_id")))
+
+
+@query("WITH S AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY event_type) AS c FROM events) SELECT event_type, avg(value) FILTER (n <= c // 2) AS first_half, avg(value) FILTER (n > c // 2) AS second_half, var_samp(value) AS variance FROM S GROUP BY event_type")
+def trend_halves(spark, sf):
+    key = Window.partitionBy("event_type")
+    e = table(spark, sf, "events").select("event_type", "value", F.row_number().over(key.orderBy("ts", "event_id")).alias("n"), F.expr("count(1) over (partition by event_type)").alias("c"))
+    early = F.col("n") <= F.floor(F.col("c") / 2)
+    return e.groupBy("event_type").agg(F.avg(F.when(early, F.col("value"))).alias("first_half"), F.avg(F.when(~early, F.col("value"))).alias("second_half"), F.var_samp("value").alias("variance"))
+
+
+@query(_H + ", D AS (SELECT source, sum([60, 30, 15, 5][severity + 1])::BIGINT AS debt, max((severity = 0)::INT) AS worst, count(*) AS n FROM H GROUP BY source) SELECT source, debt, CASE WHEN worst = 1 THEN 'high' WHEN n > 100 THEN 'medium' ELSE 'low' END AS risk FROM D")
+def technical_debt(spark, sf):
+    """Minutes by severity and a risk level."""
+    minutes = F.element_at(F.array(*map(F.lit, (60, 30, 15, 5))), F.col("severity") + 1)
+    by = _hits(spark, sf).groupBy("source").agg(F.sum(minutes).cast("long").alias("debt"), F.max((F.col("severity") == 0).cast("int")).alias("worst"), F.count(F.lit(1)).alias("n"))
+    return by.select("source", "debt", F.when(F.col("worst") == 1, "high").when(F.col("n") > 100, "medium").otherwise("low").alias("risk"))
+
+
+@query("SELECT r_name, count(*) AS n, sum(c_acctbal) AS bal FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
+def team_rollup(spark, sf):
+    c, n, r = (table(spark, sf, t) for t in ("customer", "nation", "region"))
+    j = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
+    return j.groupBy("r_name").agg(F.count(F.lit(1)).alias("n"), F.sum("c_acctbal").alias("bal"))
+
+
+@query("SELECT user_id, event_id, (SELECT min(b.ts) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'logout' AND b.ts > a.ts) AS until FROM events a WHERE event_type = 'login'")
+def asof_next(spark, sf):
+    """The next closing event after each opening one, by one window instead of a range join."""
+    after = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(1, Window.unboundedFollowing)
+    e = table(spark, sf, "events").where("event_type in ('login', 'logout')")
+    return e.withColumn("until", F.min(F.when(F.col("event_type") == "logout", F.col("ts"))).over(after)).where("event_type = 'login'").select("user_id", "event_id", "until")

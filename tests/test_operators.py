@@ -130,3 +130,23 @@ def test_streaming_matches_batch(spark, tmp_path):
     q = hits.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(out))
     q.awaitTermination()
     assert sorted(r.line_no for r in spark.read.parquet(str(out)).collect()) == [1, 2]
+
+
+def test_rules_from_toml_and_precedence(spark, tmp_path):
+    from sourcelode.sources import config
+
+    (tmp_path / "r.toml").write_text('[[rules]]\nid = "a"\npattern = "head"\nseverity = "error"\nwithin = ["Data*"]\nwhere = [["not", ["not_in_import"]]]\n')
+    mine = config.parse_rules(config.read_text(spark, str(tmp_path / "r.toml")))
+    assert mine == [rules.Rule("a", "head", severity=0, within=("Data*",), conditions=(("not", ("not_in_import",)),))]
+    assert config.merge([rules.Rule("a", "x"), rules.Rule("b", "y")], mine) == [*mine, rules.Rule("b", "y")]
+    with pytest.raises(ValueError):
+        config.parse_rules('[[rules]]\nid = "a"\npattern = "x"\nseverty = "error"\n')
+
+
+def test_levels_and_plugin(spark):
+    from sourcelode.functions.plugins import run_plugin
+
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("a", "c")], "src string, dst string")
+    assert {r.node: r.level for r in graph.levels(e).collect()} == {"c": 0, "b": 1, "a": 2}
+    found = run_plugin(lines_of(spark, "ok", "x" * 90), lambda t: [("long-line", 2, str(len(t)))] if len(t) > 80 else [])
+    assert [(r.line_no, r.rule, r.message) for r in found.collect()] == [(2, "long-line", "90")]
