@@ -191,10 +191,10 @@ def timing_category_pct(spark, sf):
     return by.select("event_type", "ms", (100 * F.col("ms") / F.sum("ms").over(Window.partitionBy())).alias("pct"))
 
 
-@query("PIVOT (SELECT dayofweek(ts) AS day, event_type, value FROM events) ON event_type IN ('click', 'view', 'purchase', 'login', 'logout') USING count(*) GROUP BY day")
+@query("PIVOT (SELECT dayofweek(ts) AS day, event_type, value FROM events) ON event_type IN ('signup', 'error', 'click', 'view', 'purchase') USING count(*) GROUP BY day")
 def heatmap_pivot(spark, sf):
     e = table(spark, sf, "events").select((F.dayofweek("ts") - 1).alias("day"), "event_type")
-    return e.groupBy("day").pivot("event_type", ["click", "view", "purchase", "login", "logout"]).agg(F.count(F.lit(1))).fillna(0)
+    return e.groupBy("day").pivot("event_type", ["signup", "error", "click", "view", "purchase"]).agg(F.count(F.lit(1))).fillna(0)
 
 
 @query("""WITH D AS (SELECT event_type, ts::DATE AS day, avg(value) AS m FROM events GROUP BY ALL), R AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day DESC) AS n FROM D)
@@ -460,9 +460,9 @@ def team_rollup(spark, sf):
     return j.groupBy("r_name").agg(F.count(F.lit(1)).alias("n"), F.sum("c_acctbal").alias("bal"))
 
 
-@query("SELECT user_id, event_id, (SELECT min(b.ts) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'logout' AND b.ts > a.ts) AS until FROM events a WHERE event_type = 'login'")
+@query("SELECT user_id, event_id, (SELECT min(b.ts) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'error' AND b.ts > a.ts) AS until FROM events a WHERE event_type = 'signup'")
 def asof_next(spark, sf):
     """The next closing event after each opening one, by one window instead of a range join."""
     after = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(1, Window.unboundedFollowing)
-    e = table(spark, sf, "events").where("event_type in ('login', 'logout')")
-    return e.withColumn("until", F.min(F.when(F.col("event_type") == "logout", F.col("ts"))).over(after)).where("event_type = 'login'").select("user_id", "event_id", "until")
+    e = table(spark, sf, "events").where("event_type in ('signup', 'error')")
+    return e.withColumn("until", F.min(F.when(F.col("event_type") == "error", F.col("ts"))).over(after)).where("event_type = 'signup'").select("user_id", "event_id", "until")
