@@ -55,6 +55,39 @@ def compile_pattern(rule: Rule) -> tuple[str, list[str]]:
     return CAPTURE.join(quoted), names
 
 
+def required_literal(rule: Rule) -> str:
+    """A text that every match of the rule holds; empty if none is certain. A cheap gate before the expression."""
+    if not rule.regex:
+        parts = [w for p in METAVAR.split(rule.pattern) for w in p.split()] if METAVAR.search(rule.pattern) else [rule.pattern]
+        return max(parts, key=len, default="")
+    x, runs, run, depth, i = rule.pattern, [], "", 0, 0
+    if "|" in x or "(?" in x or r"\Q" in x:
+        return ""
+    while i < len(x):
+        c, i = x[i], i + 1
+        known = ""
+        if c == "\\" and i < len(x):
+            known, i = ("" if x[i].isalnum() else x[i]), i + 1
+        elif c == "[":
+            i += 1 + (x[i : i + 1] == "^")  # a bracket that stands first belongs to the class
+            while i < len(x) and x[i] != "]":
+                i += 1 + (x[i] == "\\")
+            i += 1
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c not in ".^$*+?{}":
+            known = c
+        if known and depth == 0 and x[i : i + 1] not in ("*", "?", "{"):
+            run += known
+            if x[i : i + 1] != "+":
+                continue
+        runs.append(run)
+        run = ""
+        if x[i : i + 1] == "{":
+            i = x.find("}", i) + 1 or len(x)
+    return max([*runs, run], key=len)
+
+
 def glob_match(name: Column, glob: str) -> Column:
     """*x* infix, *x suffix, x* prefix, else equality."""
     if glob == "*":
@@ -129,26 +162,43 @@ def side_condition(condition: tuple, text: Column, captures: Column) -> Column:
 
 
 def match(lines: DataFrame, rules: list[Rule], scope: str | None = None) -> DataFrame:
-    """file_id, line_no, rule, category, severity, col (from 1), matched, captures: the first match of each rule on each line."""
-    text, found = F.col("text"), []
-    for r in rules:
-        if not r.enabled:
-            continue
+    """file_id, line_no, rule, category, severity, col (from 1), matched, captures: the first match of each rule on each line.
+
+    One pass finds the position of every rule's match, searching a line for a
+    rule's expression once and only if it holds the rule's literal part. What
+    was matched is worked out from there, for matches only.
+    """
+    text, at = F.col("text"), F.col("hit.at")
+    rules = [r for r in rules if r.enabled]
+    found, what, captures, ok = [], F.lit(None).cast("string"), F.lit(None).cast("map<string,string>"), F.lit(True)
+    for i, r in enumerate(rules):
         regex, names = compile_pattern(r)
-        pattern = F.lit(regex)
-        at, what = F.regexp_instr("text", pattern), F.regexp_substr("text", pattern)
-        captures = F.create_map(*[x for i, n in reversed(list(enumerate(names))) for x in (F.lit(n), F.regexp_extract("text", regex, i + 1))][: 2 * len(set(names))]) if names and len(set(names)) == len(names) else F.lit(None).cast("map<string,string>")
-        ok = text.rlike(regex) & (F.length(what) > 0)
+        gate, needed = F.lit(True), required_literal(r)
         if scope and (r.within or r.excepted):
-            ok = ok & in_scope(r, F.col(scope))
-        if r.target != "any":
-            ok = ok & (region(text, at) == r.target)
-        for c in r.conditions:
-            ok = ok & side_condition(c, text, captures)
-        found.append(F.when(ok, F.struct(F.lit(r.id).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), at.alias("col"), what.alias("matched"), captures.alias("captures"))))
-    hits = F.filter(F.array(*found), lambda x: x.isNotNull())
+            gate = gate & in_scope(r, F.col(scope))
+        if needed:
+            gate = gate & text.contains(needed)
+        found.append(F.struct(F.lit(i).alias("i"), F.when(gate, F.regexp_instr("text", F.lit(regex))).otherwise(0).alias("at")))
+        this = F.col("hit.i") == i
+        rest, anchored = F.expr("substring(text, hit.at)"), "^(?:" + regex + ")"
+        mine = F.regexp_extract(text, regex, 0) if r.regex else F.regexp_extract(rest, anchored, 0) if names else F.lit(r.pattern)
+        what = F.when(this, mine).otherwise(what)
+        caught = F.lit(None).cast("map<string,string>")
+        if names and len(set(names)) == len(names):
+            caught = F.create_map(*[x for k, n in reversed(list(enumerate(names))) for x in (F.lit(n), F.regexp_extract(rest, anchored, k + 1))])
+            captures = F.when(this, caught).otherwise(captures)
+        holds = [region(text, at) == r.target] * (r.target != "any") + [side_condition(c, text, caught) for c in r.conditions]
+        for h in holds:
+            ok = ok & (~this | h)
     keep = ["file_id", "line_no", *([scope] if scope else [])]
-    return lines.select(*keep, F.explode(hits).alias("h")).select(*keep, "h.*")
+    if not rules:
+        rules, found = [Rule("", "")], [F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"))]
+    hits = F.filter(F.array(*found), lambda x: x["at"] > 0)
+    # the outer form, because the plain one makes the optimizer add filters that work the whole array out again
+    rows = lines.select(*keep, "text", F.explode_outer(hits).alias("hit")).where("hit IS NOT NULL").where(ok)
+    named = F.array(*[F.struct(F.lit(r.id).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity")) for r in rules])
+    rows = rows.select(*keep, named[F.col("hit.i")].alias("r"), at.alias("col"), what.alias("matched"), captures.alias("captures"))
+    return rows.where("length(matched) > 0").select(*keep, "r.*", "col", "matched", "captures")
 
 
 def effective_severity(hits: DataFrame, by_rule: dict[str, int], by_category: dict[str, int]) -> DataFrame:
