@@ -13,11 +13,12 @@ chunk, not per occurrence. A shard's task adds the counts up, builds the
 filter's segment for that shard, and sums the exact base score of the chunk's
 documents, which needs the counts but no join by word.
 
-The filter is bounded by max_filter_mb. Segments are as large as their entries
-need at PROBES probes; if a segment would exceed its share of the bound, the
-rarest pairs of that shard are left to the word estimate (the segment keeps the
-threshold). Counts themselves are never cut: the base score is exact up to
-collisions of 64-bit hashes.
+The filter grows with the corpus: a segment is as large as its entries need at
+PROBES probes, and no word or pair is left out. While all segments together
+stay within max_filter_mb they are broadcast. A larger filter stays where it
+is, and the probes travel: each chunk sends its distinct hashes to the shards
+and gets their levels back. Both ways probe the same bits and give the same
+scores. The base score is exact up to collisions of 64-bit hashes.
 
 Edge cases: null or empty texts are one end token; a null doc_id trains and is
 not held out; rows with the same id and text share one result each; without
@@ -172,26 +173,21 @@ def _positions(x: np.ndarray, n_bits: np.ndarray, probe: int) -> np.ndarray:
     return (y * n_bits >> np.uint64(32)).astype(np.int64)
 
 
-def segment(h: np.ndarray, counts: np.ndarray, most_bytes: int) -> tuple[bytes, int]:
-    """Filter bits of one shard, and the least count that is entered (1 unless the bound forces more)."""
-    level, least = level_of(counts), 1
-    size = lambda: int(level.sum() * PROBES / math.log(2) / 8) + 8
-    while len(h) and size() > most_bytes:
-        least += 1
-        h, level, counts = h[counts >= least], level[counts >= least], counts[counts >= least]
-    bits = np.zeros(size(), np.uint8)
+def segment(h: np.ndarray, counts: np.ndarray) -> bytes:
+    """Filter bits of one shard."""
+    level = level_of(counts)
+    bits = np.zeros(int(level.sum() * PROBES / math.log(2) / 8) + 8, np.uint8)
     n_bits = np.array([8 * len(bits)], np.uint64)
     for q in range(1, int(level.max(initial=0)) + 1):
         some = _level_hash(h[level >= q], q)
         for probe in range(PROBES):
             at = _positions(some, n_bits, probe)
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    return bits.tobytes(), least
+    return bits.tobytes()
 
 
-def _reduce(bits: int, max_filter_mb: int):
+def _reduce():
     """Shard side: totals, filter segments and base-score sums."""
-    share = (max_filter_mb << 20) >> bits
     out = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("chunk", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("z", pa.float64()), ("ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
     def run(table: pa.Table) -> pa.Table:
@@ -206,8 +202,7 @@ def _reduce(bits: int, max_filter_mb: int):
             h[:, :6] = six
             pair, back = np.unique(h.view(np.uint64).ravel(), return_inverse=True)
             total = np.bincount(back, np.concatenate([_wide(r["b"], r["n"]) for r in rows])).astype(np.int64)
-            filled, least = segment(pair, total, share * 3 // 4)
-            made = [(PAIRS, shard, least, filled, None, int(total.sum()), len(pair), 0.0, None, None)]
+            made = [(PAIRS, shard, 0, segment(pair, total), None, int(total.sum()), len(pair), 0.0, None, None)]
         else:
             h = np.frombuffer(b"".join(r["a"] for r in rows), np.uint64)
             word, back = np.unique(h, return_inverse=True)
@@ -219,23 +214,86 @@ def _reduce(bits: int, max_filter_mb: int):
                 doc, times = _wide(r["e"], r["n"]), _wide(r["d"], r["n"])
                 made.append((SUMS, shard, r["chunk"], np.bincount(doc, times * log[which]).tobytes(), _narrow(np.bincount(doc, times * known[which]).astype(np.int64)), int(doc.max()) + 1, 0, 0.0, None, None))
             word, total = word[known], total[known]
-            filled, least = segment(word, total, share // 4)
-            z = float(VALUE[level_of(total[total >= least])].sum())
-            made.append((WORDS, shard, least, filled, None, int(total.sum()), len(word), z, None, None))
+            z = float(VALUE[level_of(total)].sum())
+            made.append((WORDS, shard, 0, segment(word, total), None, int(total.sum()), len(word), z, None, None))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made), out)], schema=out)
 
     return run, "kind int, shard long, chunk long, a binary, b binary, n long, v long, z double, ids array<long>, keys array<long>"
 
 
+_ANSWER = "kind int, shard long, chunk long, a binary, b binary, c binary, d binary, n long, ids array<long>, keys array<long>"
+
+
+def _ask(bits: int):
+    """Task side of probing a filter that is too large to broadcast: distinct hashes to their shards, and what puts the answers in order."""
+
+    def run(batches):
+        base = TaskContext.get().partitionId() << 32
+        for at, (ids, keys, c) in enumerate(chunks(batches)):
+            chunk, rows, order = base + at, [], []
+            for kind, h, width in ((WORDS, c.hashes, 64), (PAIRS, c.pairs()[0] >> np.uint64(16), 48)):
+                h, back = np.unique(h, return_inverse=True)
+                order.append(_narrow(back))
+                cut = np.searchsorted(h >> np.uint64(width - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(h)])
+                for s in range(1 << bits):
+                    a, b = cut[s], cut[s + 1]
+                    if a < b:
+                        rows.append((kind, s, chunk, h[a:b].tobytes(), None, None, None, b - a, None, None))
+            rows.append((INFO, 0, chunk, _narrow(c.n_tokens), c.train.tobytes(), *order, len(ids), ids, keys))
+            fields = [f for f in _SCHEMA if f.name != "e"]
+            for i in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[i : i + 64]), fields)], schema=pa.schema(fields))
+
+    return run
+
+
+def _answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """Shard side: the levels of the hashes that chunks ask for, from the shard's segment."""
+    raw = held.column("a")[0].as_py() if held.num_rows else bytes(8)
+    part, levels = Filter(0, {0: raw}, 64), []
+    for h in asked.column("a"):
+        levels.append(part.levels(np.frombuffer(h.as_py(), np.uint64)).tobytes())
+    return asked.set_column(asked.schema.get_field_index("a"), "a", pa.array(levels, pa.binary()))
+
+
+def _ordered(table: pa.Table) -> pa.Table:
+    """Chunk side: the levels of each document's tokens in order."""
+    rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["shard"]))
+    info = next(r for r in rows if r["kind"] == INFO)
+    ends = np.cumsum(_wide(info["a"], info["n"]))
+    out = []
+    for kind, order in ((WORDS, info["c"]), (PAIRS, info["d"])):
+        levels = np.frombuffer(b"".join(r["a"] for r in rows if r["kind"] == kind), np.uint8)
+        raw = levels[_wide(order, ends[-1])].tobytes()
+        out.append(pa.array([raw[a:b] for a, b in zip([0, *ends[:-1]], ends)], pa.binary()))
+    train = np.frombuffer(info["b"], bool)
+    return pa.table({"doc_id": pa.array(info["ids"], pa.int64()), "thash": pa.array(info["keys"], pa.int64()), "train": pa.array(train), "words": out[0], "pairs": out[1]})
+
+
+LEVELS_OF = "doc_id long, thash long, train boolean, words binary, pairs binary"
+
+
+def _probe_at_shards(rows: DataFrame, counted: DataFrame, bits: int) -> DataFrame:
+    """What probing a broadcast filter gives, with the probes sent to the segments instead."""
+    asked = materialise(rows.mapInArrow(_ask(bits), _ANSWER), "lm-asked")
+    segments = counted.where(F.col("kind").isin(WORDS, PAIRS)).select("kind", "shard", "a")
+    answers = asked.where(F.col("kind") != INFO).groupBy("kind", "shard").cogroup(segments.groupBy("kind", "shard")).applyInArrow(_answer_or_nothing, _ANSWER)
+    return answers.unionByName(asked.where(F.col("kind") == INFO)).groupBy("chunk").applyInArrow(_ordered, LEVELS_OF)
+
+
+def _answer_or_nothing(asked: pa.Table, held: pa.Table) -> pa.Table:
+    return _answer(asked, held) if asked.num_rows else pa.Table.from_batches([], asked.schema)
+
+
 class Filter:
     """The broadcast filter: bits of all segments of words or pairs."""
 
-    def __init__(self, bits: int, segments: dict[int, tuple[bytes, int]], width: int):
+    def __init__(self, bits: int, segments: dict[int, bytes], width: int):
         self.bits, self.width = bits, width
-        parts = [segments.get(s, (bytes(8), 1)) for s in range(1 << bits)]
-        sizes = np.array([len(p) for p, _ in parts], np.int64)
+        parts = [segments.get(s, bytes(8)) for s in range(1 << bits)]
+        sizes = np.array([len(p) for p in parts], np.int64)
         self.size, self.offset = (8 * sizes).astype(np.uint64), 8 * np.r_[0, np.cumsum(sizes)[:-1]]
-        self.raw = b"".join(p for p, _ in parts)
+        self.raw = b"".join(parts)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Level of each hash: probes level 1, 2, ... until one misses."""
@@ -335,31 +393,38 @@ def lm_scores(docs: DataFrame, train_fold=None, max_filter_mb: int = MAX_FILTER_
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("thash"), train.alias("train"), "text")
     bits = min(16, max(2, math.ceil(math.log2(docs.count() / DOCS_PER_SHARD + 1))))
     packed = rows.mapInArrow(_pack(bits), PACKED)
-    reduce, schema = _reduce(bits, max_filter_mb)
+    reduce, schema = _reduce()
     counted = materialise(packed.groupBy("kind", "shard").applyInArrow(reduce, schema), "lm-counts")
 
     totals = counted.where(F.col("kind") == WORDS).agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("z").alias("z")).first()
     n_tokens, n_words, z = totals["n"] or 0, totals["v"] or 0, totals["z"] or 0.0
-    found: dict[int, dict] = {WORDS: {}, PAIRS: {}}
-    for r in counted.where(F.col("kind").isin(WORDS, PAIRS)).select("kind", "shard", "chunk", "a").toLocalIterator():  # max_filter_mb at most
-        found[r["kind"]][r["shard"]] = (bytes(r["a"]), r["chunk"])
     n_docs = counted.where(F.col("kind") == INFO).select(F.sum(F.length(F.translate(F.hex("b"), "0", "")))).first()[0] or 0
-    model = Model(Filter(bits, found.pop(WORDS), 64), Filter(bits, found.pop(PAIRS), 48), z, n_words, n_docs)
-    filled = spark.sparkContext.broadcast(model)
-
-    def probe(batches):
-        for ids, keys, c in chunks(batches):
-            e = filled.value.probe(c)
-            ends = np.cumsum(e.n_tokens).tolist()
-            cut = [(a, b) for a, b in zip([0, *ends], ends)]
-            w, p = e.words.tobytes(), e.pairs.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(c.train), pa.array([w[a:b] for a, b in cut], pa.binary()), pa.array([p[a:b] for a, b in cut], pa.binary())],
-                ["doc_id", "thash", "train", "words", "pairs"],
-            )
-
+    model = Model(None, None, z, n_words, n_docs)
+    segments = counted.where(F.col("kind").isin(WORDS, PAIRS)).select("kind", "shard", "a")
+    whole = segments.agg(F.sum(F.length("a"))).first()[0] or 0
+    if whole <= max_filter_mb << 20:
+        found: dict[int, dict] = {WORDS: {}, PAIRS: {}}
+        for r in segments.toLocalIterator():  # max_filter_mb at most
+            found[r["kind"]][r["shard"]] = bytes(r["a"])
+        model.words, model.pairs = Filter(bits, found.pop(WORDS), 64), Filter(bits, found.pop(PAIRS), 48)
+        filled = spark.sparkContext.broadcast(model)
+
+        def probe(batches):
+            for ids, keys, c in chunks(batches):
+                e = filled.value.probe(c)
+                ends = np.cumsum(e.n_tokens).tolist()
+                cut = [(a, b) for a, b in zip([0, *ends], ends)]
+                w, p = e.words.tobytes(), e.pairs.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(c.train), pa.array([w[a:b] for a, b in cut], pa.binary()), pa.array([p[a:b] for a, b in cut], pa.binary())],
+                    ["doc_id", "thash", "train", "words", "pairs"],
+                )
+
+        levels = rows.mapInArrow(probe, LEVELS_OF)
+    else:
+        levels = _probe_at_shards(rows, counted, bits)
     # two bytes a token, read twice: to fit the weights, and to score
-    probed = materialise(rows.mapInArrow(probe, "doc_id long, thash long, train boolean, words binary, pairs binary"), "lm-levels")
+    probed = materialise(levels, "lm-levels")
     model.words = model.pairs = None
     plain = spark.sparkContext.broadcast(model)
 
