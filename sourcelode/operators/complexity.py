@@ -21,3 +21,11 @@ def nesting(text: Column) -> Column:
     """Deepest indentation of a line with text, in steps of two."""
     depth = F.transform(F.split(text, "\n"), lambda x: F.when(F.trim(x) == "", 0).otherwise(F.length(x) - F.length(F.ltrim(x))))
     return F.floor(F.array_max(depth) / 2).cast("long")
+
+
+def cognitive(text: Column) -> Column:
+    """Branches, do blocks, bindings and thirds of compositions, and two for each level of indentation beyond four."""
+    ones = ("case ", " if ", " | ", " do\n", " do ", " where\n", " let ", "\nlet ", " >>= ")
+    flow = sum((occurrences(text, t) for t in ones[1:]), occurrences(text, ones[0]))
+    deep = F.greatest(F.lit(0), nesting(text) - 4) * 2
+    return (flow + F.floor(occurrences(text, " . ") / 3) + deep).cast("long")

@@ -13,9 +13,9 @@ def percentage_change(before: Column, after: Column) -> Column:
 
 
 def quality_score(files: Column, issues: Column, errors: Column, warnings: Column) -> Column:
-    """100 less five an error, three a warning, and two an issue per file at most twenty; never below 0."""
-    density = F.least(F.lit(20.0), F.when(files > 0, issues / files * 2).otherwise(0.0))
-    return F.greatest(F.lit(0.0), F.lit(100.0) - 5 * errors - 3 * warnings - density)
+    """100 less ten an error, three a warning, and half a point an issue at most fifty; never below 0; 100 without files."""
+    left = F.lit(100.0) - F.least(F.lit(50.0), issues * 0.5) - errors * 10.0 - warnings * 3.0
+    return F.when(files == 0, 100.0).otherwise(F.greatest(F.lit(0.0), left))
 
 
 def timing(samples: DataFrame, key: str, value: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.exprlang import to_column
-from ..operators import baseline, complexity, fixes, graph, metrics, rules, similarity, suppress
+from ..operators import baseline, complexity, fixes, graph, imports, metrics, reports, rules, similarity, suppress
 from ..session import table
 from ..sources import sinks, text
 from ..streaming import cache
@@ -376,7 +376,7 @@ def dedup_keep_first(spark, sf):
     return metrics.first_by(o, ["o_custkey"], ["o_orderdate", "o_orderkey"])
 
 
-@query(_H + ", Q AS (SELECT source, count(DISTINCT file_id) AS files, count(*) AS issues, sum((severity = 0)::INT)::BIGINT AS errors, sum((severity = 1)::INT)::BIGINT AS warnings FROM H GROUP BY source) SELECT source, files, issues, errors, warnings, greatest(0.0, 100.0 - 5 * errors - 3 * warnings - least(20.0, issues / files * 2)) AS score FROM Q")
+@query(_H + ", Q AS (SELECT source, count(DISTINCT file_id) AS files, count(*) AS issues, sum((severity = 0)::INT)::BIGINT AS errors, sum((severity = 1)::INT)::BIGINT AS warnings FROM H GROUP BY source) SELECT source, files, issues, errors, warnings, greatest(0.0, 100.0 - least(50.0, issues * 0.5) - 10 * errors - 3 * warnings)::DOUBLE AS score FROM Q")
 def quality_score(spark, sf):
     by = _hits(spark, sf).groupBy("source").agg(F.countDistinct("file_id").alias("files"), F.count(F.lit(1)).alias("issues"), F.sum((F.col("severity") == 0).cast("long")).alias("errors"), F.sum((F.col("severity") == 1).cast("long")).alias("warnings"))
     return by.withColumn("score", metrics.quality_score(*map(F.col, ("files", "issues", "errors", "warnings"))))
@@ -445,12 +445,12 @@ def trend_halves(spark, sf):
     return e.groupBy("event_type").agg(F.avg(F.when(early, F.col("value"))).alias("first_half"), F.avg(F.when(~early, F.col("value"))).alias("second_half"), F.var_samp("value").alias("variance"))
 
 
-@query(_H + ", D AS (SELECT source, sum([60, 30, 15, 5][severity + 1])::BIGINT AS debt, max((severity = 0)::INT) AS worst, count(*) AS n FROM H GROUP BY source) SELECT source, debt, CASE WHEN worst = 1 THEN 'high' WHEN n > 100 THEN 'medium' ELSE 'low' END AS risk FROM D")
+@query(_H + ", D AS (SELECT source, sum([10, 5, 2, 1][severity + 1])::BIGINT AS debt, count_if(severity = 0) AS errors, count_if(severity = 1) AS warnings, count(*) AS issues FROM H GROUP BY source) SELECT source, debt, CASE WHEN errors > 0 THEN 'critical' WHEN warnings > 10 THEN 'high' WHEN warnings > 5 OR issues > 50 THEN 'medium' WHEN issues > 10 THEN 'low' ELSE 'minimal' END AS risk FROM D")
 def technical_debt(spark, sf):
-    """Minutes by severity and a risk level."""
-    minutes = F.element_at(F.array(*map(F.lit, (60, 30, 15, 5))), F.col("severity") + 1)
-    by = _hits(spark, sf).groupBy("source").agg(F.sum(minutes).cast("long").alias("debt"), F.max((F.col("severity") == 0).cast("int")).alias("worst"), F.count(F.lit(1)).alias("n"))
-    return by.select("source", "debt", F.when(F.col("worst") == 1, "high").when(F.col("n") > 100, "medium").otherwise("low").alias("risk"))
+    """Debt points by severity and a risk level."""
+    sev = F.col("severity")
+    by = _hits(spark, sf).groupBy("source").agg(F.sum(reports.debt(sev)).cast("long").alias("debt"), reports.count_if(sev == 0).alias("errors"), reports.count_if(sev == 1).alias("warnings"), F.count(F.lit(1)).alias("issues"))
+    return by.select("source", "debt", reports.risk_level(F.col("errors"), F.col("warnings"), F.col("issues")).alias("risk"))
 
 
 @query("SELECT r_name, count(*) AS n, sum(c_acctbal) AS bal FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
@@ -466,3 +466,104 @@ def asof_next(spark, sf):
     after = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(1, Window.unboundedFollowing)
     e = table(spark, sf, "events").where("event_type in ('signup', 'error')")
     return e.withColumn("until", F.min(F.when(F.col("event_type") == "error", F.col("ts"))).over(after)).where("event_type = 'signup'").select("user_id", "event_id", "until")
+
+
+@query(_H + ", S AS (SELECT count(DISTINCT file_id) AS files, count(*) AS issues, count_if(severity = 0)::BIGINT AS errors, count_if(severity = 1)::BIGINT AS warnings, count_if(severity = 2)::BIGINT AS suggestions, count_if(severity = 3)::BIGINT AS infos, sum([10, 5, 2, 1][severity + 1])::BIGINT AS debt, count_if(category = 'security')::BIGINT AS security_issues FROM H) SELECT *, greatest(0.0, 100.0 - 10 * security_issues)::DOUBLE AS security_score, CASE WHEN errors > 0 THEN 'critical' WHEN warnings > 10 THEN 'high' WHEN warnings > 5 OR issues > 50 THEN 'medium' WHEN issues > 10 THEN 'low' ELSE 'minimal' END AS risk FROM S")
+def executive_summary(spark, sf):
+    return reports.summary(_hits(spark, sf))
+
+
+@query(_H + " SELECT severity, count(*) AS n, count(*) / sum(count(*)) OVER () * 100 AS pct FROM H GROUP BY severity")
+def severity_breakdown(spark, sf):
+    return reports.breakdown(_hits(spark, sf), "severity")
+
+
+@query(_H + " SELECT rule, ['Hard Secret', 'Word That', 'Word With', 'Licence Line', 'Gpl', 'E Mail', 'Ip', 'Pair'][list_position(['hard-secret', 'word-that', 'word-with', 'licence-line', 'gpl', 'e-mail', 'ip', 'pair'], rule)] AS name, count(*) AS n, count(DISTINCT file_id) AS files FROM H GROUP BY rule ORDER BY n DESC, rule LIMIT 3")
+def top_issues(spark, sf):
+    return reports.top_issues(_hits(spark, sf), 3)
+
+
+@query(_H + " SELECT owner, count(DISTINCT source) AS files, count(*) AS issues, count_if(severity = 0)::BIGINT AS errors FROM H JOIN (VALUES ('one', 'src1'), ('all', 'src')) AS o(owner, prefix) ON starts_with(source, prefix) GROUP BY owner")
+def team_report(spark, sf):
+    owners = spark.createDataFrame([("one", "src1"), ("all", "src")], "owner string, prefix string")
+    return reports.owned(_hits(spark, sf), owners, "source")
+
+
+@query("SELECT event_type, sum(value) AS actual, (100 * count(*))::DOUBLE AS allowed FROM events GROUP BY event_type HAVING sum(value) > 100 * count(*)")
+def baseline_limits(spark, sf):
+    e = table(spark, sf, "events").groupBy("event_type")
+    limits = e.agg((F.count(F.lit(1)) * 100).cast("double").alias("allowed"))
+    return reports.over_limit(e.agg(F.sum("value").alias("actual")), limits, "event_type")
+
+
+@query("WITH T AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 50), S AS (SELECT *, CASE WHEN max(n) OVER () = min(n) OVER () THEN 0 ELSE (n - min(n) OVER ()) / (max(n) OVER () - min(n) OVER ()) END AS scaled FROM T) SELECT *, least(floor(scaled * 5), 4)::BIGINT AS bucket FROM S")
+def heatmap_buckets(spark, sf):
+    return reports.heatmap(table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), "n")
+
+
+@query("WITH S AS (SELECT user_id::VARCHAR AS rule, avg(value) AS mean, stddev_samp(value) AS deviation FROM events GROUP BY 1) SELECT rule, 'slow' AS issue FROM S WHERE mean > 20 AND mean <= 60 UNION ALL SELECT rule, 'very slow' FROM S WHERE mean > 60 UNION ALL SELECT rule, 'high variance' FROM S WHERE deviation > mean")
+def rule_performance(spark, sf):
+    stats = table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("rule")).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("deviation"))
+    return reports.slow_rules(stats, 20, 60)
+
+
+def _imports(spark, sf):
+    """Imports told by order lines: file, module, and a list of two items."""
+    li = table(spark, sf, "lineitem")
+    return li.select(F.col("l_orderkey").alias("file_id"), (F.col("l_suppkey") % 4).cast("string").alias("imported"), F.lit(False).alias("qualified"), F.lit(None).cast("string").alias("alias"), F.lit(False).alias("hiding"), F.array("l_returnflag", "l_linestatus").alias("items"))
+
+
+_IMPORTS = "I AS (SELECT l_orderkey AS file_id, (l_suppkey % 4)::VARCHAR AS imported, unnest([l_returnflag, l_linestatus]) AS item FROM lineitem)"
+
+
+@query(f"WITH {_IMPORTS}, U AS (SELECT DISTINCT l_orderkey AS f, l_linestatus AS n FROM lineitem WHERE l_linenumber = 1) SELECT file_id, imported, list_sort(list(DISTINCT item)) AS unused FROM I WHERE NOT EXISTS (SELECT 1 FROM U WHERE f = file_id AND n = item) GROUP BY ALL")
+def unused_imports(spark, sf):
+    used = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("file_id"), F.col("l_linestatus").alias("name"))
+    return imports.unused(_imports(spark, sf), used)
+
+
+@query(f"WITH {_IMPORTS} SELECT file_id, imported, count(*) // 2 AS times, list_sort(list(DISTINCT item)) AS items FROM I GROUP BY ALL HAVING count(*) > 2")
+def merged_imports(spark, sf):
+    return imports.merged(_imports(spark, sf)).select("file_id", "imported", "times", "items")
+
+
+@query("WITH C AS (SELECT p_brand AS symbol, arg_min(p_type, p_partkey) AS module FROM part WHERE p_size > 40 GROUP BY 1) SELECT DISTINCT p_brand AS symbol, module FROM part LEFT JOIN C ON symbol = p_brand")
+def best_import(spark, sf):
+    p = table(spark, sf, "part")
+    return imports.best_source(p.select(F.col("p_brand").alias("symbol")), p.where("p_size > 40").select(F.col("p_brand").alias("symbol"), F.col("p_type").alias("module"), F.col("p_partkey").alias("ord")))
+
+
+@query(f"WITH {_EDITS}, P AS (SELECT o_orderkey AS file, (o_custkey % 40)::INTEGER AS point FROM orders), J AS (SELECT P.file, point, fix::VARCHAR AS name, hi - lo AS size FROM P JOIN X ON X.file = P.file AND point >= lo AND point < hi) SELECT file, point, name, size FROM (SELECT *, row_number() OVER (PARTITION BY file, point ORDER BY size, name) AS n FROM J) WHERE n = 1")
+def innermost_span(spark, sf):
+    points = table(spark, sf, "orders").select(F.col("o_orderkey").alias("file"), F.expr("int(o_custkey % 40)").alias("point"))
+    return imports.innermost(points, _edits(spark, sf).select("file", F.col("fix").cast("string").alias("name"), "lo", "hi"))
+
+
+@query("WITH B AS (SELECT l_orderkey AS file, l_linenumber AS line, l_returnflag AS rule, l_suppkey AS supp, CASE WHEN l_partkey % 2 = 0 THEN 0 ELSE 1 END AS age FROM lineitem) SELECT file, line, rule, supp FROM (SELECT *, row_number() OVER (PARTITION BY file, line, rule ORDER BY age, supp) AS n FROM B) WHERE n = 1")
+def baseline_merge(spark, sf):
+    b = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("rule"), F.col("l_suppkey").alias("supp"), "l_partkey")
+    return imports.merge_baselines(b.where("l_partkey % 2 = 0").drop("l_partkey"), b.where("l_partkey % 2 = 1").drop("l_partkey"), ["supp"])
+
+
+@query(_H + " SELECT rule, substr(sha256(file_id || '|' || rule || '|' || matched), 1, 16) AS fingerprint, count(*) AS n FROM H WHERE category IN ('security', 'licence') GROUP BY ALL")
+def finding_fingerprints(spark, sf):
+    h = _hits(spark, sf).where(F.col("category").isin("security", "licence"))
+    key = F.concat_ws("|", F.col("file_id").cast("string"), "rule", "matched")
+    return h.groupBy("rule", F.substring(F.sha2(key, 256), 1, 16).alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_LINES} SELECT earlier, count(*) AS n FROM (SELECT coalesce(max(starts_with(text, 'Released')::INT) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS earlier FROM L) GROUP BY earlier")
+def preceding_doc(spark, sf):
+    """Lines by whether any earlier line of the file is a marker, by the least marker line of a file rather than a running window."""
+    rows = _lines(spark, sf)
+    first = rows.where(F.col("text").startswith("Released")).groupBy("file_id").agg(F.min("line_no").alias("first"))
+    return rows.select("file_id", "line_no").join(first, "file_id", "left").groupBy(F.coalesce(F.col("first") < F.col("line_no"), F.lit(False)).alias("earlier")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _times(token):
+    return f"(length(text) - length(replace(text, {token}, ''))) // {len(eval(token.replace(' || chr(10)', ' + chr(10)').replace('chr(10) || ', 'chr(10) + ')))}"
+
+
+@query("SELECT doc_id, (" + " + ".join(_times(t) for t in ("'case '", "' if '", "' | '", "' do' || chr(10)", "' do '", "' where' || chr(10)", "' let '", "chr(10) || 'let '", "' >>= '")) + f" + ({_times(chr(39) + ' . ' + chr(39))}) // 3 + greatest(0, list_max(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN trim(x) = '' THEN 0 ELSE length(x) - length(ltrim(x)) END)) // 2 - 4) * 2)::BIGINT AS cognitive FROM documents")
+def cognitive(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", complexity.cognitive(F.col("text")).alias("cognitive"))
