@@ -9,6 +9,12 @@ its documents (epochs) and one permutation cut at the budget. Positions within
 these permutations, as shares of the source's budget, deal the draws into
 blocks, so each block holds every source at its weight.
 
+Weights from a thousandth up are rounded to six decimals, as in the SQL, which
+moves them by a two-thousandth of themselves at most. Smaller ones keep full
+precision, so no source vanishes however many there are; their budgets are
+steps of a rounded running sum and add up to their part of the target. Every
+source with tokens has a budget of one token at least, hence a document.
+
 Only DataFrame operations. A permutation is an order by md5 of seed, epoch and
 id. No window ever spans a source: tokens are summed by a prefix of the hash
 first, prefix sums run over at most 4096 such rows a source and epoch, and
@@ -31,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, slim, table, words_of
 
-PREFIX, WAYS, HIGHEST = 3, 64, 8.0
+PREFIX, WAYS, HIGHEST, COARSE = 3, 64, 8.0, 1e-3
 
 
 @dataclass(frozen=True)
@@ -95,6 +101,25 @@ def _repeats_at(shares: DataFrame, a: float, mix: Mix) -> float:
     return mix.budget * m / z
 
 
+def _budgets(weighed: DataFrame, target: float) -> DataFrame:
+    """weighed (src, tokens, weight) with the budget of every source.
+
+    Running sums are decimals, so their order cannot matter; sources are summed
+    by a prefix of their hash first, and only those of one prefix are put in order.
+    """
+    coarse = weighed.where(F.col("weight") >= COARSE).withColumn("weight", F.round("weight", 6))
+    coarse = coarse.withColumn("budget", F.floor(F.lit(target) * F.col("weight")).cast("long"))
+    fine = weighed.where(F.col("weight") < COARSE).withColumn("exact", (F.lit(target) * F.col("weight")).cast("decimal(28,6)"))
+    fine = fine.withColumn("hash", F.md5(F.col("src").cast("binary"))).withColumn("prefix", F.substring("hash", 1, PREFIX))
+    sums = fine.groupBy("prefix").agg(F.sum("exact").alias("n"))
+    sums = sums.select("prefix", (F.sum("n").over(Window.orderBy("prefix")) - F.col("n")).alias("before"))  # at most 4096 rows
+    upto = F.col("before") + F.sum("exact").over(Window.partitionBy("prefix").orderBy("hash", "src"))
+    fine = fine.join(sums, "prefix").withColumn("upto", upto)
+    step = F.round("upto") - F.round(F.col("upto") - F.col("exact"))
+    fine = fine.withColumn("budget", step.cast("long"))
+    return coarse.unionByName(fine.select(*coarse.columns)).withColumn("budget", F.greatest("budget", F.lit(1)).cast("long"))
+
+
 def plan(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """Per source: weight, budget, full (whole epochs), rest (tokens of the cut epoch) and cut (its last place, or null).
 
@@ -108,8 +133,7 @@ def plan(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
     a = exponent(sources, mix)
     raised = known.withColumn("x", F.pow(F.col("tokens") / F.lit(float(total)), F.lit(a)))
     z = raised.agg(F.sum("x")).first()[0]
-    budgets = raised.select("src", "tokens", F.round(F.col("x") / F.lit(z), 6).alias("weight"))
-    budgets = budgets.withColumn("budget", F.floor(F.lit(float(math.floor(total * mix.budget))) * F.col("weight")).cast("long"))
+    budgets = _budgets(raised.select("src", "tokens", (F.col("x") / F.lit(z)).alias("weight")), float(math.floor(total * mix.budget)))
     budgets = budgets.withColumn("full", F.floor(F.col("budget") / F.col("tokens")).cast("long"))
     budgets = materialise(budgets.withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens")), "budgets")
     keyed = rows.join(budgets.where("rest > 0").select("src", "full", "rest"), "src").withColumn("place", place(mix.seed, F.col("full"), F.col("doc_id")))

@@ -68,3 +68,22 @@ def test_empty_single_and_repeated_rows(spark):
     assert m.mixture(spark.createDataFrame([], schema)).count() == 0
     assert m.mixture(spark.createDataFrame([(1, None, "a")], schema)).count() == 0
     assert sorted(r.doc_id for r in m.mixture(spark.createDataFrame([(1, "a b", "s")] * 3 + [(2, "c", "s")], schema)).collect()) == [1, 1, 1, 2]
+
+
+def test_small_sources_keep_their_budgets(spark):
+    """Shares of 1e-7 and 1.2e-6 beside a large source, and many sources whose weights six decimals cannot hold."""
+    rows = [(i, "=big", 1_000_000) for i in range(10)] + [(100, "=tiny", 1), *((200 + i, "=small", 4) for i in range(3))]
+    rows = spark.createDataFrame(rows, "doc_id long, src string, n_tokens long")
+    planned = m.plan(rows, m.Mix())
+    got = {r.src: r.budget for r in planned.collect()}
+    a = 1 + math.log(2) / math.log(1e-7)  # the repeat limit of 2 is met by the smallest source
+    assert got["=tiny"] == 2 and abs(got["=small"] - 1e7 * 1.2e-6**a) < 1
+    drawn = sorted(r.doc_id for r in m.draws(rows, planned).where("src <> '=big'").collect())
+    assert drawn == sorted([100, 200, 201, 202] * 2)
+
+    many = spark.range(3000).selectExpr("id AS doc_id", "concat('=', id) AS src", "10L AS n_tokens")
+    budgets = [r.budget for r in m.plan(many, m.Mix()).collect()]
+    assert set(budgets) == {10} and len(budgets) == 3000
+    budgets = [r.budget for r in m.plan(many, m.Mix(budget=0.25)).collect()]
+    assert set(budgets) == {2, 3} and sum(budgets) == 7500
+    assert {r.budget for r in m.plan(many, m.Mix(budget=0.01)).collect()} == {1}
