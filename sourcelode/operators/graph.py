@@ -7,21 +7,35 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
+PARTS = 32  # results of steps that are kept apart before they are written as one
 
-def distances(edges: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame:
-    """node and its distance from the nearest root, for all reachable nodes. edges: src, dst; roots: node."""
+
+def distances(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """node and its distance from the nearest root, for all reachable nodes. edges: src, dst; roots: node.
+
+    Runs until no node is new; with a bound `most`, nodes farther away are an error.
+    """
     seen = materialise(roots.select("node").distinct().withColumn("distance", F.lit(0)), "closure")
-    front, parts = seen, [seen]
-    for d in range(1, most + 1):
+    front, parts, d = seen, [seen], 0
+    while True:
+        d += 1
         found = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        known = parts[0]
-        for p in parts[1:]:
-            known = known.unionByName(p)
+        known = _union(parts)
         front = materialise(found.join(known, "node", "left_anti").withColumn("distance", F.lit(d)), "closure")
         if front.isEmpty():
             return known
+        if most is not None and d > most:
+            raise ValueError(f"nodes are farther than {most} steps from the roots")
         parts.append(front)
-    return known.unionByName(front)
+        if len(parts) > PARTS:
+            parts = [materialise(_union(parts), "closure")]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -89,15 +103,22 @@ def layer_violations(edges: DataFrame, layers: list[tuple[str, list[str], list[s
     return e.where("src_layer is not null and dst_layer is not null").where(~F.array_contains(allowed[F.col("src_layer")], F.col("dst_layer")))
 
 
-def levels(edges: DataFrame, most: int = 1000) -> DataFrame:
-    """node and level of a dependency order (src depends on dst): nodes of a level depend on lower ones only; nodes on or above a cycle have none."""
+def levels(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """node and level of a dependency order (src depends on dst): nodes of a level depend on lower ones only; nodes on or above a cycle have none.
+
+    Runs until no node is free; with a bound `most`, more levels are an error.
+    """
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    left, out = materialise(nodes, "levels"), None
-    for level in range(most):
+    left, parts, level = materialise(nodes, "levels"), [], 0
+    while True:
         alive = edges.join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
         free = materialise(left.join(alive, "node", "left_anti").withColumn("level", F.lit(level)), "levels")
         if free.isEmpty():
-            break
-        out = free if out is None else out.unionByName(free)
+            return _union(parts) if parts else free
+        if most is not None and level >= most:
+            raise ValueError(f"there are more than {most} levels")
+        parts.append(free)
+        if len(parts) > PARTS:
+            parts = [materialise(_union(parts), "levels")]
         left = materialise(left.join(free.select("node"), "node", "left_anti"), "levels")
-    return free if out is None else out
+        level += 1

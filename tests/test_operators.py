@@ -56,6 +56,18 @@ def test_graph(spark):
     assert {r.node: r.component for r in graph.components(e).collect()} == {"A": "A", "B": "A", "C": "A", "D": "A", "X": "X", "Y": "X"}
 
 
+def test_graph_has_no_silent_depth_limit(spark, monkeypatch):
+    chain = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(7)], "src string, dst string")
+    roots = spark.createDataFrame([("n00",)], "node string")
+    with pytest.raises(ValueError):
+        graph.distances(chain, roots, most=3)
+    with pytest.raises(ValueError):
+        graph.levels(chain, most=3)
+    monkeypatch.setattr(graph, "PARTS", 2)
+    assert {r.node: r.distance for r in graph.distances(chain, roots, most=7).collect()} == {f"n{i:02}": i for i in range(8)}
+    assert {r.node: r.level for r in graph.levels(chain, most=8).collect()} == {f"n{i:02}": 7 - i for i in range(8)}
+
+
 def test_scores_and_windows(spark):
     row = spark.range(1).select(metrics.quality_score(F.lit(3), F.lit(10), F.lit(1), F.lit(2)).alias("q"), metrics.percentage_change(F.lit(0.0), F.lit(5.0)).alias("a"), metrics.percentage_change(F.lit(10.0), F.lit(12.0)).alias("b")).first()
     assert (round(row.q, 4), row.a, row.b) == (79.0, 100.0, 20.0)  # 100 - 5 - 10 - 6
