@@ -1,4 +1,4 @@
-"""Copies and similar texts of lines and functions."""
+"""Exact copies of texts, blanks folded."""
 
 from __future__ import annotations
 

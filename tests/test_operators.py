@@ -48,6 +48,13 @@ def test_baseline_diff(spark):
     assert (g.new, g.existing, g.resolved, g.passed) == (2, 2, 2, False)
 
 
+def test_expired_entries_also_count_in_the_band(spark):
+    new = spark.createDataFrame([("f", "r", "m", 1), ("f", "s", "x", 13), ("f", "t", "x", 13), ("f", "u", "x", 13)], "file string, rule string, message string, line int")
+    old = spark.createDataFrame([("f", "r", "m", 1, 5), ("f", "s", "z", 12, 5), ("f", "t", "z", 12, 50), ("f", "u", "z", 12, None)], "file string, rule string, message string, line int, expires int")
+    got = {r.rule: r.status for r in baseline.diff(new, old, now=10).collect()}
+    assert got == {"r": "expired", "s": "expired", "t": "existing", "u": "existing"}
+
+
 def test_graph(spark):
     e = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A"), ("D", "A"), ("X", "Y")], "src string, dst string")
     roots = spark.createDataFrame([("A",)], "node string")
