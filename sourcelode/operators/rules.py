@@ -15,6 +15,13 @@ from pyspark.sql import functions as F
 SEVERITIES = ("error", "warning", "suggestion", "info")  # ordinal 0 is the worst
 WORD_EDGE = re.compile(r"[A-Za-z0-9_']")
 METAVAR = re.compile(r"\$[A-Z][A-Z0-9]*|(?<![A-Za-z0-9_'])_[a-z]\w*")
+#: Conditions that need types or a syntax tree; they hold in text mode.
+HOLD = frozenset(
+    "has_type has_type_class type_matches is_maybe is_monad is_pure is_application is_lambda free_in not_free_in complexity_lt complexity_gt complexity_cond "
+    "not_bind is_eta_reducible no_deriving_strategy wildcard_not_last has_pattern_overlap is_pattern_incomplete has_ambiguous_type uses_default_options in_context".split()
+)
+#: Columns of the lines that conditions about a file read.
+READS = {"in_test_file": "path", "not_in_test_file": "path", "in_module": "module", "has_import": "content", "has_pragma": "content"}
 CAPTURE = r"([A-Za-z_][A-Za-z0-9_']*|[0-9]+)"
 
 
@@ -123,7 +130,9 @@ def region(text: Column, column: Column) -> Column:
 def side_condition(condition: tuple, text: Column, captures: Column) -> Column:
     """Text-mode side conditions as a column; a condition is a tuple of its name and arguments.
 
-    Conditions that need types or a syntax tree hold in text mode.
+    Conditions that need types or a syntax tree (HOLD) hold in text mode; a name
+    that is not known is an error, and so is in_comment_type, which needs an index
+    of a file's comments. Conditions about a file read the columns in READS.
     """
     name, *args = condition
     var = lambda: captures[args[0]]
@@ -158,9 +167,38 @@ def side_condition(condition: tuple, text: Column, captures: Column) -> Column:
             return F.coalesce(~var().isin(*args[1]), F.lit(True))
         case "matches":
             return text.rlike(args[0])
+        case "in_function_body":
+            return text.rlike(r"^\s*$")  # the reference negates "any non-blank line is at the top level"
+        case "in_string_literal":
+            return F.regexp_count(text, F.lit('"')) % 2 == 1
+        case "is_numeric":
+            return F.coalesce(var().rlike(r"^-*(?=[^-])[0-9.eE_+-]*$") & var().rlike("[0-9]"), F.lit(True))
+        case "is_string":
+            return F.coalesce((F.length(var()) >= 2) & var().startswith('"') & var().endswith('"'), F.lit(True))
+        case "is_list":
+            return F.coalesce((F.length(var()) >= 2) & var().startswith("[") & var().endswith("]"), F.lit(True))
+        case "type_contains":
+            return F.coalesce(var().contains(args[1]), F.lit(True))
+        case "has_import" | "has_pragma":
+            return F.coalesce(F.col(READS[name]).contains(args[0]), F.lit(False))
+        case "in_module":
+            return F.coalesce(glob_match(F.col(READS[name]), args[0]), F.lit(False))
+        case "in_test_file" | "not_in_test_file":
+            test = F.coalesce(F.col(READS[name]).rlike("Test|Spec|tests?/"), F.lit(False))
+            return test if name == "in_test_file" else ~test
+    if name not in HOLD:
+        raise ValueError(f"unknown or unsupported side condition {name}")
     return F.lit(True)
 
 
+def columns_read(conditions: tuple) -> set[str]:
+    """Columns of the lines, besides the text, that conditions read."""
+    out = set()
+    for name, *args in conditions:
+        out |= columns_read(tuple(args)) if name in ("and", "or", "not") else {READS[name]} if name in READS else set()
+    return out
+
+
 def match(lines: DataFrame, rules: list[Rule], scope: str | None = None) -> DataFrame:
     """file_id, line_no, rule, category, severity, col (from 1), matched, captures: the first match of each rule on each line.
 
@@ -191,11 +229,15 @@ def match(lines: DataFrame, rules: list[Rule], scope: str | None = None) -> Data
         for h in holds:
             ok = ok & (~this | h)
     keep = ["file_id", "line_no", *([scope] if scope else [])]
+    read = {c for r in rules for c in columns_read(r.conditions)}
+    if read - set(lines.columns):
+        raise ValueError(f"conditions need lines with the columns {sorted(read - set(lines.columns))}")
+    more = sorted(read - {*keep, "text"})
     if not rules:
         rules, found = [Rule("", "")], [F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"))]
     hits = F.filter(F.array(*found), lambda x: x["at"] > 0)
     # the outer form, because the plain one makes the optimizer add filters that work the whole array out again
-    rows = lines.select(*keep, "text", F.explode_outer(hits).alias("hit")).where("hit IS NOT NULL").where(ok)
+    rows = lines.select(*keep, *more, "text", F.explode_outer(hits).alias("hit")).where("hit IS NOT NULL").where(ok)
     named = F.array(*[F.struct(F.lit(r.id).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity")) for r in rules])
     rows = rows.select(*keep, named[F.col("hit.i")].alias("r"), at.alias("col"), what.alias("matched"), captures.alias("captures"))
     return rows.where("length(matched) > 0").select(*keep, "r.*", "col", "matched", "captures")

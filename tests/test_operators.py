@@ -26,6 +26,21 @@ def test_targets_and_conditions(spark):
     assert got(conditions=(("never",),)) == []
 
 
+def test_file_and_literal_conditions_and_unknown_names(spark):
+    rows = [(1, 1, "f 1.5", "src/A.hs", "Data.A", "import Data.Map"), (2, 1, "f xs", "test/A.hs", "Main", "{-# X #-}"), (3, 1, 'f ys "', "src/ASpec.hs", "Data.B", None)]
+    ls = spark.createDataFrame(rows, "file_id long, line_no int, text string, path string, module string, content string")
+    got = lambda *c, lines=ls: sorted(r.file_id for r in rules.match(lines, [rules.Rule("r", "f $X", conditions=c)]).collect())
+    assert got(("not_in_test_file",)) == [1] and got(("not", ("in_test_file",))) == [1] and got(("in_test_file",)) == [2, 3]
+    assert got(("in_module", "Data*")) == [1, 3] and got(("or", ("has_import", "Data.Map"), ("has_pragma", "X"))) == [1, 2]
+    assert got(("is_numeric", "$X")) == [1] and got(("in_string_literal",)) == [3] and got(("type_contains", "$X", "s")) == [2, 3]
+    assert got(("is_string", "$X")) == got(("is_list", "$X")) == got(("in_function_body",)) == []
+    for bad in (("not_in_tset_file",), ("in_comment_type", "pragma")):
+        with pytest.raises(ValueError):
+            got(bad)
+    with pytest.raises(ValueError):
+        got(("in_test_file",), lines=ls.drop("path"))
+
+
 def test_interpolated_message(spark):
     hits = rules.match(lines_of(spark, "length ys == 0"), [rules.Rule("r", "length $X == 0")])
     assert hits.select(rules.interpolate(F.lit("use null $X"), F.col("captures")).alias("m")).first().m == "use null ys"
