@@ -28,7 +28,7 @@ from .common import slim, table
 
 MARK = "▁"
 NONE = np.int64(1 << 40)
-CHUNK_CHARS, LEARN_CHARS, CACHE_SIZE, PAIR_CACHE = 500_000, 150_000, 100_000, 1 << 20
+CHUNK_CHARS, LEARN_CHARS, CACHE_SIZE, PAIR_CACHE, CACHE_BYTES = 500_000, 150_000, 100_000, 1 << 20, 32_000_000
 
 
 class Pieces:
@@ -66,7 +66,8 @@ class Pieces:
                 if max(whole) > k:
                     raise ValueError("a piece precedes its parts in merge order")
                 usable.append(k)
-        self.edges = [(text[order[k]].encode(), k) for k in usable]
+        edges = [(text[order[k]].encode(), k) for k in usable]
+        self.index = PieceIndex(edges)
         self.space = int(order[number[MARK]])
         spoken = {i: text[i].replace(MARK, " ").encode() for i in normal} | {int(i): bytes([b]) for b, i in enumerate(self.byte_ids)}
         self.bytes_of = [spoken.get(i, b"") for i in range(sp.get_piece_size())]
@@ -84,42 +85,48 @@ class Pieces:
         return last if symbols[0] == want else None
 
 
-def suffix_ranges(text: np.ndarray, pieces: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class PieceIndex:
+    """Pieces by the eight bytes from a depth on: key bounds to search for, and an index of the longer pieces below each key."""
+
+    def __init__(self, pieces: list[tuple[bytes, int]], depth: int = 0):
+        number = lambda t, fill: int.from_bytes(t.ljust(8, fill), "big")
+        here = sorted((number(p[depth : depth + 8], b"\0"), number(p[depth : depth + 8], b"\xff"), len(p), k) for p, k in pieces if len(p) <= depth + 8)
+        self.depth, self.longest = depth, max((len(p) for p, _ in pieces), default=0)
+        self.low, self.high = (np.array([x[i] for x in here], np.uint64) for i in (0, 1))
+        self.length, self.piece = (np.array([x[i] for x in here], np.int64) for i in (2, 3))
+        below: dict[int, list] = {}
+        for p, k in pieces:
+            if len(p) > depth + 8:
+                below.setdefault(number(p[depth : depth + 8], b"\0"), []).append((p, k))
+        self.key = np.array(sorted(below), np.uint64)
+        self.below = [PieceIndex(below[int(x)], depth + 8) for x in self.key]
+
+
+def suffix_ranges(text: np.ndarray, index: PieceIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All occurrences (start, length, piece number) of the pieces in text, by binary search in its suffix array.
 
     Suffixes are ordered by eight bytes at a time; deeper ranges are ordered only where a longer piece reaches them.
     """
-    padded = np.r_[text, np.zeros(8 + max(len(p) for p, _ in pieces), np.uint8)]
-    found = []
-
-    def words(at):
-        out = np.zeros(len(at), np.uint64)
-        for k in range(8):
-            out = out << np.uint64(8) | padded[at + k].astype(np.uint64)
-        return out
-
-    todo = [(np.arange(len(text)), 0, pieces)]
+    padded = np.r_[text, np.zeros(8 + index.longest, np.uint8)]
+    eight = padded[: len(padded) - 7].astype(np.uint64)
+    for k in range(1, 8):
+        eight = eight << np.uint64(8) | padded[k : len(padded) - 7 + k]
+    found, todo = [], [(np.arange(len(text)), index)]
     while todo:
-        at, depth, some = todo.pop()  # suffixes that share their first depth bytes with the pieces in some
-        key = words(at + depth)
+        at, node = todo.pop()  # suffixes that share their first bytes with the pieces of the node
+        key = eight[at + node.depth]
         by = np.argsort(key)
         at, key = at[by], key[by]
-        tails = [p[depth : depth + 8] for p, _ in some]
-        lo = np.searchsorted(key, np.array([int.from_bytes(t.ljust(8, b"\0"), "big") for t in tails], np.uint64))
-        hi = np.searchsorted(key, np.array([int.from_bytes(t.ljust(8, b"\xff"), "big") for t in tails], np.uint64), "right")
-        deeper: dict = {}
-        short = []
-        for n, (p, _) in enumerate(some):
-            if lo[n] < hi[n]:
-                if len(p) <= depth + 8:
-                    short.append(n)
-                else:
-                    deeper.setdefault((int(lo[n]), int(hi[n])), []).append(some[n])
-        todo += [(at[a:b], depth + 8, rest) for (a, b), rest in deeper.items()]
-        if short:
-            lo, size = lo[short], hi[short] - lo[short]
-            rank = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-            found.append((at[rank], np.repeat([len(some[n][0]) for n in short], size), np.repeat([some[n][1] for n in short], size)))
+        low = np.searchsorted(key, node.low)
+        size = np.searchsorted(key, node.high, "right") - low
+        some = np.flatnonzero(size)
+        if len(some):
+            low, size = low[some], size[some]
+            rank = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            found.append((at[rank], np.repeat(node.length[some], size), np.repeat(node.piece[some], size)))
+        if len(node.key):
+            low, high = np.searchsorted(key, node.key), np.searchsorted(key, node.key, "right")
+            todo += [(at[low[i] : high[i]], node.below[i]) for i in np.flatnonzero(low < high)]
     if not found:
         return (np.empty(0, np.int64),) * 3
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -129,7 +136,8 @@ class Codec:
     """Encodes and decodes texts; keeps what it has learnt about segments, in bounded memory."""
 
     def __init__(self, path: str, cache_size: int = CACHE_SIZE):
-        self.p, self.cache_size, self.cache, self.run_cache = Pieces(path), cache_size, {"": b""}, {}
+        self.p, self.cache_size, self.cache, self.held, self.run_cache = Pieces(path), cache_size, {"": b""}, 0, {}
+        self.broken: set[str] = set()  # segments whose ids do not decode to them
         self.pair_key, self.pair_ok = np.full(PAIR_CACHE, -1, np.int64), np.zeros(PAIR_CACHE, bool)
 
     def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -164,9 +172,9 @@ class Codec:
         return ok
 
     def learn(self, segments: set[str]) -> None:
-        """Encode the segments that the cache lacks."""
-        if len(self.cache) > self.cache_size:
-            self.cache = {"": b""}
+        """Encode the segments that the cache lacks, which begins anew once it holds too many or too long ones."""
+        if len(self.cache) > self.cache_size or self.held > CACHE_BYTES:
+            self.cache, self.held, self.broken = {"": b""}, 0, set()
         some, size = [], 0
         for x in segments.difference(self.cache):
             some.append(x)
@@ -181,7 +189,7 @@ class Codec:
         size = np.array([len(b) for b in raw])
         start = np.r_[0, np.cumsum(size + 1)[:-1]]
         text = np.frombuffer(b"\xff".join(raw) + b"\xff", np.uint8)  # a byte that UTF-8 never has
-        s, n, k = suffix_ranges(text, p.edges)
+        s, n, k = suffix_ranges(text, p.index)
         head = np.flatnonzero((text & 0xC0) != 0x80)
         head = head[text[head] != 0xFF]
         width = np.select([text[head] < 0x80, text[head] < 0xE0, text[head] < 0xF0], [1, 2, 3], 4)
@@ -189,31 +197,40 @@ class Codec:
         known[s[k < p.base]] = True
         lack = ~known[head]
         s, n, k = np.r_[s, head[lack]], np.r_[n, width[lack]], np.r_[k, np.zeros(lack.sum(), np.int64)]
-        first = np.repeat(start, size + 1)
+        # where no piece reaches across a place nothing can merge across it: a segment falls into parts there
+        across = np.cumsum(np.bincount(s + 1, minlength=len(text) + 2) - np.bincount(s + n, minlength=len(text) + 2))[: len(text)]
+        opens = across == 0
+        opens[text == 0xFF] = False
+        opens[start[size > 0]] = True
+        parts = np.flatnonzero(opens)
+        first = parts[np.maximum(np.cumsum(opens) - 1, 0)]
+        ends = np.r_[parts[1:], len(text)]
+        ends = ends - (text[ends - 1] == 0xFF)
         rel = s + n - first[s]
-        by = np.argsort(rel, kind="stable")  # sorted by position within the segment
+        by = np.argsort(rel.astype(np.uint16) if rel.max() < 65536 else rel, kind="stable")  # sorted by position within the part
         s, n, k, rel = s[by], n[by], k[by], rel[by]
-        bounds = np.searchsorted(rel, np.arange(1, size.max() + 2))
+        bounds = np.searchsorted(rel, np.arange(1, rel[-1] + 2))
         last, source = np.full(len(text) + 1, -1, np.int64), np.zeros(len(text) + 1, np.int64)
         for a, b in zip(bounds[:-1], bounds[1:]):
             if a == b:
                 continue
             es, en, ek = s[a:b], n[a:b], k[a:b]
-            opening = es == first[es]
+            opening = opens[es]
             before = np.where(opening, 0, last[es])
             ok = opening.copy()
             rest = np.flatnonzero(~opening & (before >= 0))
             ok[rest] = self.apart(before[rest], ek[rest])
             es, en, ek = es[ok], en[ok], ek[ok]
             last[es + en], source[es + en] = ek, es
-        at, seg, out = start + size, np.arange(len(new)), []
+        at, out = ends, []
         while len(at):
-            out.append((seg, last[at], source[at]))
-            at, go = source[at], source[at] > start[seg]
-            at, seg = at[go], seg[go]
-        seg, piece, begin = (np.concatenate(x) for x in zip(*out))
-        by = np.lexsort((begin, seg))
-        seg, piece, begin = seg[by], piece[by], begin[by]
+            out.append((last[at], source[at]))
+            at = source[at]
+            at = at[~opens[at]]
+        piece, begin = (np.concatenate(x) for x in zip(*out))
+        by = np.argsort(begin)
+        piece, begin = piece[by], begin[by]
+        seg = np.searchsorted(start, begin, "right") - 1
         wide = np.ones(len(text) + 1, np.int64)
         wide[head] = width
         reps = np.where(piece == 0, wide[begin], 1)
@@ -223,11 +240,17 @@ class Codec:
         ids[lacking] = p.byte_ids[text[(np.repeat(begin, reps) + inner)[lacking]]]
         ends = 4 * np.cumsum(np.bincount(np.repeat(seg, reps), minlength=len(new)))
         buf = ids.astype(np.int32).tobytes()
-        self.cache.update((x, buf[a:b]) for x, a, b in zip(new, np.r_[0, ends[:-1]].tolist(), ends.tolist()))
+        cuts = [buf[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
+        self.cache.update(zip(new, cuts))
+        self.held += len(buf) + len(text)
+        if self._raw(ids.tolist()) != b"".join(raw).replace(MARK.encode(), b" "):
+            self.broken.update(x for x, ids in zip(new, cuts) if self._raw(np.frombuffer(ids, np.int32).tolist()) != x.replace(MARK, " ").encode())
 
     def _run(self, n: int) -> np.ndarray:
         """Pieces for n space marks in a row: equal scores, so the leftmost possible merge goes first."""
         if n not in self.run_cache:
+            if len(self.run_cache) > 1000 or n > 10_000:
+                self.run_cache = {}
             sizes, i = [1] * n, 0
             while i < len(sizes) - 1:
                 if sizes[i] + sizes[i + 1] in self.p.runs:
@@ -263,9 +286,15 @@ class Codec:
         self.learn(set(segments))
         return self.join(segments)
 
+    def _raw(self, ids) -> bytes:
+        return b"".join(map(self.p.bytes_of.__getitem__, ids))
+
     def decode(self, ids) -> str:
-        raw = b"".join(map(self.p.bytes_of.__getitem__, ids))
-        return raw.removeprefix(b" ").decode("utf-8", "replace")
+        return self._raw(ids).removeprefix(b" ").decode("utf-8", "replace")
+
+    def returns(self, text: str, segments: list[str]) -> bool:
+        """Whether the ids of a text decode to it: its segments' ids do, which is decoded once per segment, and no space mark turns into a space."""
+        return MARK not in text and (not self.broken or self.broken.isdisjoint(segments))
 
 
 def encode(docs: DataFrame, path: str, cache_size: int = CACHE_SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,7 +309,7 @@ def encode(docs: DataFrame, path: str, cache_size: int = CACHE_SIZE, id_col: str
             def flush():
                 codec.learn({x for _, segments in held for x in segments})
                 ids = [codec.join(segments) for _, segments in held]
-                trips = [codec.decode(x.tolist()) == text for x, (text, _) in zip(ids, held)]
+                trips = [codec.returns(text, segments) for text, segments in held]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 values = np.concatenate(ids) if ids else np.empty(0, np.int32)
                 pieces = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values, pa.int32()))

@@ -32,7 +32,7 @@ def test_suffix_ranges_find_every_occurrence():
 
     raw = b"abracadabra abracadabra-abracadabra\xff" * 3
     pieces = [(b"a", 1), (b"abra", 2), (b"abracadabra", 3), (b"abracadabra abracadabra", 4), (b"zz", 5), (b"bracadabr", 6)]
-    at, size, number = s.suffix_ranges(np.frombuffer(raw, np.uint8), pieces)
+    at, size, number = s.suffix_ranges(np.frombuffer(raw, np.uint8), s.PieceIndex(pieces))
     want = sorted((i, len(p), k) for p, k in pieces for i in range(len(raw)) if raw.startswith(p, i))
     assert sorted(zip(at.tolist(), size.tolist(), number.tolist())) == want
 
