@@ -10,8 +10,9 @@ survivors are verified by their own distance. A task hands on a spanning forest
 of its links, never all pairs. Components come from alternating large-star and
 small-star rounds over those forests, each written to the shared folder.
 
-Exact copies share one fingerprint and enter the search once. A bucket with
-very many different fingerprints is compared by blocks of rows, in bounded memory.
+Exact copies share one fingerprint and enter the search once. A bucket of more
+than BIG different fingerprints is cut into stripes by a hash, and every pair of
+stripes is a bucket of its own, so no task gets a whole one.
 
 Edge cases: null, empty or blank text has fingerprint zero and links like any
 other; one or two words give one shingle of the whole sequence; a null doc_id
@@ -26,13 +27,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import FOLD, materialise, slim, table
 
 BITS, MOST, SHINGLE, SEED = 64, 3, 3, 42
-N_PIVOTS, STEP = 32, 1024
+N_PIVOTS, STEP, BIG = 32, 1024, 20_000
 _WIDTHS = (11, 11, 11, 11, 10, 10)
 
 
@@ -143,11 +144,26 @@ def linked(bucket: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return fps[child], fps[forest.label[child]]
 
 
-def links(fps: DataFrame) -> DataFrame:
+def _striped(rows: DataFrame, big: int) -> DataFrame:
+    """rows (bucket, fp) with the buckets of more than big rows dealt out as pairs of stripes of about big / 2 rows."""
+    large = materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > big), "large-buckets")
+    if large.isEmpty():
+        return rows
+    large = large.select(F.col("bucket").alias("of"), F.ceil(F.col("n") * 2 / big).cast("long").alias("stripes"))
+    rows = rows.join(large, rows["bucket"] == large["of"], "left").withColumn("mine", F.pmod(F.xxhash64("fp", F.lit("stripe")), "stripes"))
+    other = F.explode(F.coalesce(F.sequence(F.lit(0).cast("long"), F.col("stripes") - 1), F.array(F.lit(0).cast("long"))))
+    rows = rows.withColumn("other", other)
+    bucket = F.when(F.col("of").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")))
+    return rows.select(bucket.alias("bucket"), "fp")
+
+
+def links(fps: DataFrame, big: int = BIG) -> DataFrame:
     """Spanning links (u, v) among the distinct fingerprints in column fp, those at distance 3 or less."""
     keys = F.array(*[F.struct(F.lit(c).cast("tinyint").alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for c, m in enumerate(_masks())])
     rows = fps.select("fp", F.explode(keys).alias("x")).select(F.xxhash64("x.c", "x.k").alias("bucket"), "fp")
 
+    rows = _striped(rows, big)
+
     def run(batches):
         bucket, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
         for b in batches:
@@ -204,14 +220,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without all but one of each near-duplicate component: the one of least id (a null id only if there is no other).
 
-    Rows are told apart by id and text; equal rows count as copies.
+    Rows are told apart by id and text; of rows equal in both the one stays whose
+    other columns have the least hash. Columns of any name are kept as they are.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    near = near_duplicates(docs.select(key.alias("doc_id"), "text"))
-    stay = near.where("doc_id = component_id").select(F.col("doc_id.none").alias("_none"), F.col("doc_id.id").alias("_id"), F.col("doc_id.h").alias("_h"))
-    keyed = docs.select("*", key["none"].alias("_none"), key["id"].alias("_id"), key["h"].alias("_h"))
-    names = ["_none", "_id", "_h"]
-    return keyed.join(stay, names, "left_semi").dropDuplicates(names).select(*docs.columns)
+    key = F.struct(docs["doc_id"].isNull().alias("none"), F.coalesce(docs["doc_id"], F.lit(0)).alias("id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("h"))
+    near = near_duplicates(docs.select(key.alias("doc_id"), docs["text"].alias("text")))
+    stay = near.where("doc_id = component_id").select(F.col("doc_id.none").alias("none"), F.col("doc_id.id").alias("id"), F.col("doc_id.h").alias("h"))
+    own = F.struct(*[docs[c] for c in docs.columns])
+    rest = F.xxhash64(F.to_json(F.struct(*[docs[c] for c in docs.columns if c != "text"])))
+    keyed = docs.select(own.alias("own"), rest.alias("rest"), *(key[c].alias(c) for c in ("none", "id", "h")))
+    kept = keyed.join(stay, ["none", "id", "h"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("none", "id", "h").orderBy("rest"))
+    return kept.withColumn("first", first).where("first = 1").select("own.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ def brute(rows, mix):
     """(doc_id, source, n_tokens, epoch) of every draw, source by source."""
     by = defaultdict(list)
     for d, t, s in rows:
-        by[s].append((d, len((t or "").split())))
-    tokens = {s: sum(n for _, n in v) for s, v in by.items() if sum(n for _, n in v)}
+        by[s].append((d, len((t or "").split()), hashlib.md5((t or "").encode()).hexdigest()))
+    tokens = {s: sum(x[1] for x in v) for s, v in by.items() if sum(x[1] for x in v)}
     total = sum(tokens.values())
     p = {s: t / total for s, t in tokens.items()}
 
@@ -31,13 +31,17 @@ def brute(rows, mix):
     a = 1.0 if len(p) == 1 else turn(lambda w: entropy(w) >= mix.entropy * math.log(len(p)), 0, 8)
     if len(p) > 1 and most(weights(0)) > mix.repeats:
         a = max(a, turn(lambda w: most(w) > mix.repeats, 0, 1))
-    out = []
-    for s, w in weights(a).items():
-        budget = math.floor(math.floor(total * mix.budget) * round(w, 6))
+    out, target, src = [], math.floor(total * mix.budget), lambda s: "-" if s is None else f"={s}"
+    exact = {s: target * w for s, w in weights(round(a, 6)).items()}
+    budgets = {s: max(math.floor(x), 1) for s, x in exact.items()}
+    left = target - sum(budgets.values())
+    for s in sorted(exact, key=lambda s: (-math.floor(exact[s] % 1 * 4096), hashlib.md5(src(s).encode()).hexdigest()))[: max(left, 0)]:
+        budgets[s] += 1
+    for s, budget in budgets.items():
         for epoch in range(budget // tokens[s] + 1):
-            key = lambda d: hashlib.md5(f"{mix.seed}|{epoch}|{'null' if d is None else d}".encode()).hexdigest()  # noqa: E731, B023
+            key = lambda d, h: hashlib.md5(f"{mix.seed}|{epoch}|{'null' if d is None else d}|{h}".encode()).hexdigest()  # noqa: E731, B023
             used = epoch * tokens[s]
-            for _, n, d in sorted((key(d), n, -1 if d is None else d) for d, n in by[s]):
+            for _, n, d in sorted((key(d, h), n, -1 if d is None else d) for d, n, h in by[s]):
                 if used < budget:
                     out.append((d, s, n, epoch))
                 used += n
@@ -72,18 +76,35 @@ def test_empty_single_and_repeated_rows(spark):
 
 def test_small_sources_keep_their_budgets(spark):
     """Shares of 1e-7 and 1.2e-6 beside a large source, and many sources whose weights six decimals cannot hold."""
-    rows = [(i, "=big", 1_000_000) for i in range(10)] + [(100, "=tiny", 1), *((200 + i, "=small", 4) for i in range(3))]
-    rows = spark.createDataFrame(rows, "doc_id long, src string, n_tokens long")
+    rows = [(f"{i}", "=big", 1_000_000) for i in range(10)] + [("100", "=tiny", 1), *((f"{200 + i}", "=small", 4) for i in range(3))]
+    rows = spark.createDataFrame(rows, "key string, src string, n_tokens long")
     planned = m.plan(rows, m.Mix())
     got = {r.src: r.budget for r in planned.collect()}
     a = 1 + math.log(2) / math.log(1e-7)  # the repeat limit of 2 is met by the smallest source
-    assert got["=tiny"] == 2 and abs(got["=small"] - 1e7 * 1.2e-6**a) < 1
-    drawn = sorted(r.doc_id for r in m.draws(rows, planned).where("src <> '=big'").collect())
-    assert drawn == sorted([100, 200, 201, 202] * 2)
+    assert got["=tiny"] == 2 and abs(got["=small"] - 1e7 * 1.2e-6**a) < 1 and sum(got.values()) == 10_000_013
+    drawn = sorted(r.key for r in m.draws(rows, planned).where("src <> '=big'").collect())
+    assert drawn == sorted(["100", "200", "201", "202"] * 2)
 
-    many = spark.range(3000).selectExpr("id AS doc_id", "concat('=', id) AS src", "10L AS n_tokens")
+    many = spark.range(3000).selectExpr("string(id) AS key", "concat('=', id) AS src", "10L AS n_tokens")
     budgets = [r.budget for r in m.plan(many, m.Mix()).collect()]
     assert set(budgets) == {10} and len(budgets) == 3000
     budgets = [r.budget for r in m.plan(many, m.Mix(budget=0.25)).collect()]
     assert set(budgets) == {2, 3} and sum(budgets) == 7500
     assert {r.budget for r in m.plan(many, m.Mix(budget=0.01)).collect()} == {1}
+
+
+def test_300_000_sources_of_one_word(spark):
+    docs = spark.range(300_000).selectExpr("id AS doc_id", "'w' AS text", "string(id) AS source")
+    assert m.mixture(docs).count() == 300_000
+
+
+def test_own_columns_stay_and_blocks_are_whole(spark):
+    rows = [(None if i % 5 == 0 else i, "w " * 10, "ab"[i % 4 == 0], 7, "mine", i, 2.5, True) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, epoch int, src string, full int, times double, cut boolean")
+    got = m.mixed_rows(docs, m.Mix(block_tokens=500)).collect()
+    want = m.mixture(docs, m.Mix(block_tokens=500)).collect()
+    assert {(r.epoch, r.src, r.times, r.cut) for r in got} == {(7, "mine", 2.5, True)}
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r.doc_id) for r in want)
+    assert {tuple(r) for r in got} <= set(rows)
+    docs = docs.withColumnRenamed("epoch", "block").withColumnRenamed("full", "place").withColumnRenamed("times", "key").withColumnRenamed("src", "reach")
+    assert m.mixed_rows(docs).columns == docs.columns and m.mixed_rows(docs).count() == len(m.mixture(docs).collect())

@@ -75,3 +75,28 @@ def test_null_ids_and_empty_table(spark):
     got = sorted((r.component_id is None, r.component_id or 0) for r in s.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(False, 5)] * 3 + [(True, 0)]
     assert s.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_striped_buckets_lose_no_link(spark):
+    rng = np.random.default_rng(2)
+    fps = np.unique(np.array([(1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 62, (400, 2))], np.int64))
+    roots = {r.node: r.root for r in s.components(s.links(spark.createDataFrame([(int(x),) for x in fps], "fp long"), big=30)).collect()}
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    forest = s.Forest(len(fps))
+    forest.add(*np.nonzero(near))
+    groups = {}
+    for x in fps.tolist():
+        groups.setdefault(roots.get(x, x), set()).add(x)
+    want = {}
+    for x, label in zip(fps.tolist(), forest.label.tolist()):
+        want.setdefault(label, set()).add(x)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_one_of_each_keeps_clashing_columns_and_breaks_ties(spark):
+    rows = [(1, "a b c d", 9, "x", 1.5, 3), (1, "a b c d", 2, "y", 0.5, 4), (2, "a b c d", 2, "y", 0.5, 4), (None, "zz yy xx", 1, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, none string, h double, rest int")
+    once, again = s.one_of_each(docs), s.one_of_each(docs.repartition(3))
+    assert once.columns == docs.columns
+    assert sorted(map(str, once.collect())) == sorted(map(str, again.collect()))
+    assert sorted(str(r.doc_id) for r in once.collect()) == ["1", "None"]
