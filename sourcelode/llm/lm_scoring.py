@@ -11,7 +11,9 @@ Counting: a task sorts the hashes of about CHUNK_BYTES of text and hands each
 shard of the hash space one packed row, so a frequent word costs one entry per
 chunk, not per occurrence. A shard's task adds the counts up, builds the
 filter's segment for that shard, and sums the exact base score of the chunk's
-documents, which needs the counts but no join by word.
+documents, which needs the counts but no join by word. Shards are sized by bytes
+of text; a document's sum goes back from the shards that hold one of its words
+only, so what is sent back stays below a fixed multiple of the text.
 
 The filter grows with the corpus: a segment is as large as its entries need at
 PROBES probes, and no word or pair is left out. While all segments together
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import FOLD, fold_of, materialise, slim, table
 
 CHUNK_BYTES, CHUNK_DOCS, PROBES, BASE, MAX_FILTER_MB = 6_000_000, 60_000, 5, 1.5, 128
-DOCS_PER_SHARD = 4000
+SHARD_BYTES = 24_000_000  # of text, on average
 FLOOR = 0.1
 START = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -188,21 +190,21 @@ def segment(h: np.ndarray, counts: np.ndarray) -> bytes:
 
 def _reduce():
     """Shard side: totals, filter segments and base-score sums."""
-    out = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("chunk", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("z", pa.float64()), ("ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+    out = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("chunk", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("z", pa.float64()), ("ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         kind, shard = rows[0]["kind"], rows[0]["shard"]
         made = []
         if kind == INFO:
-            made = [(INFO, shard, r["chunk"], r["a"], r["b"], r["n"], 0, 0.0, r["ids"], r["keys"]) for r in rows]
+            made = [(INFO, shard, r["chunk"], r["a"], r["b"], None, r["n"], 0, 0.0, r["ids"], r["keys"]) for r in rows]
         elif kind == PAIRS:
             six = np.frombuffer(b"".join(r["a"] for r in rows), np.uint8).reshape(-1, 6)
             h = np.zeros((len(six), 8), np.uint8)
             h[:, :6] = six
             pair, back = np.unique(h.view(np.uint64).ravel(), return_inverse=True)
             total = np.bincount(back, np.concatenate([_wide(r["b"], r["n"]) for r in rows])).astype(np.int64)
-            made = [(PAIRS, shard, 0, segment(pair, total), None, int(total.sum()), len(pair), 0.0, None, None)]
+            made = [(PAIRS, shard, 0, segment(pair, total), None, None, int(total.sum()), len(pair), 0.0, None, None)]
         else:
             h = np.frombuffer(b"".join(r["a"] for r in rows), np.uint64)
             word, back = np.unique(h, return_inverse=True)
@@ -212,13 +214,17 @@ def _reduce():
             for r, n, end in zip(rows, sizes, np.cumsum(sizes)):
                 which = np.repeat(back[end - n : end], _wide(r["c"], n))
                 doc, times = _wide(r["e"], r["n"]), _wide(r["d"], r["n"])
-                made.append((SUMS, shard, r["chunk"], np.bincount(doc, times * log[which]).tobytes(), _narrow(np.bincount(doc, times * known[which]).astype(np.int64)), int(doc.max()) + 1, 0, 0.0, None, None))
+                sums, counts = np.bincount(doc, times * log[which]), np.bincount(doc, times * known[which]).astype(np.int64)
+                some, where = np.unique(doc), None
+                if 2 * len(some) < len(sums):
+                    sums, counts, where = sums[some], counts[some], _narrow(some)
+                made.append((SUMS, shard, r["chunk"], sums.tobytes(), _narrow(counts), where, len(sums), 0, 0.0, None, None))
             word, total = word[known], total[known]
             z = float(VALUE[level_of(total)].sum())
-            made.append((WORDS, shard, 0, segment(word, total), None, int(total.sum()), len(word), z, None, None))
+            made.append((WORDS, shard, 0, segment(word, total), None, None, int(total.sum()), len(word), z, None, None))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made), out)], schema=out)
 
-    return run, "kind int, shard long, chunk long, a binary, b binary, n long, v long, z double, ids array<long>, keys array<long>"
+    return run, "kind int, shard long, chunk long, a binary, b binary, c binary, n long, v long, z double, ids array<long>, keys array<long>"
 
 
 _ANSWER = "kind int, shard long, chunk long, a binary, b binary, c binary, d binary, n long, ids array<long>, keys array<long>"
@@ -391,7 +397,8 @@ def lm_scores(docs: DataFrame, train_fold=None, max_filter_mb: int = MAX_FILTER_
     spark = docs.sparkSession
     train = fold_of(F.col("doc_id"), 10) != 0 if train_fold is None else F.coalesce(train_fold, F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("thash"), train.alias("train"), "text")
-    bits = min(16, max(2, math.ceil(math.log2(docs.count() / DOCS_PER_SHARD + 1))))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(16, max(2, math.ceil(math.log2(size / SHARD_BYTES + 1))))  # 65,536 shards hold 1.5 TB of text at that size, and grow beyond it
     packed = rows.mapInArrow(_pack(bits), PACKED)
     reduce, schema = _reduce()
     counted = materialise(packed.groupBy("kind", "shard").applyInArrow(reduce, schema), "lm-counts")
@@ -457,12 +464,13 @@ def lm_scores(docs: DataFrame, train_fold=None, max_filter_mb: int = MAX_FILTER_
         total, known = np.zeros(info["n"]), np.zeros(info["n"], np.int64)
         for r in rows:
             if r["kind"] == SUMS:
-                total[: r["n"]] += np.frombuffer(r["a"], np.float64)
-                known[: r["n"]] += _wide(r["b"], r["n"])
+                at = slice(r["n"]) if r["c"] is None else _wide(r["c"], r["n"])
+                total[at] += np.frombuffer(r["a"], np.float64)
+                known[at] += _wide(r["b"], r["n"])
         tokens = _wide(info["a"], info["n"])
         return pa.table({"doc_id": pa.array(info["ids"], pa.int64()), "thash": pa.array(info["keys"], pa.int64()), "n_known": known, "base_score": total - tokens * bottom})
 
-    sums = counted.where(F.col("kind").isin(INFO, SUMS)).select("kind", "chunk", "a", "b", "n", "ids", "keys")
+    sums = counted.where(F.col("kind").isin(INFO, SUMS)).select("kind", "chunk", "a", "b", "c", "n", "ids", "keys")
     based = sums.groupBy("chunk").applyInArrow(base, "doc_id long, thash long, n_known long, base_score double").dropDuplicates(["doc_id", "thash"])
     joined = scored.alias("s").join(based.alias("b"), (F.col("s.thash") == F.col("b.thash")) & F.col("s.doc_id").eqNullSafe(F.col("b.doc_id")), "left")
     return joined.select(

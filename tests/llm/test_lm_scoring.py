@@ -80,3 +80,12 @@ def test_empty_and_untrained(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     r = m.lm_scores(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()[0]
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0) and r.score == 0.0
+
+
+def test_many_shards_send_sparse_sums(spark, monkeypatch):
+    monkeypatch.setattr(m, "SHARD_BYTES", 400)
+    rows = _rows()
+    got = m.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    key = lambda x: (str(x[0]), x[2], round(x[5], 6))
+    a, b = sorted([tuple(r)[:6] for r in got], key=key), sorted(brute(rows), key=key)
+    assert [x[:5] for x in a] == [x[:5] for x in b] and np.allclose([x[5] for x in a], [x[5] for x in b], rtol=1e-9)
