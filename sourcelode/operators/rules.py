@@ -1,7 +1,9 @@
-"""Declarative line rules: compiled to one column expression and matched in one pass over the lines.
+"""Declarative line rules, matched in one pass over the lines.
 
-All rules become one array of match structs per line, so the lines are scanned
-once and nothing is joined or shuffled; rows appear only for matches.
+Up to WIDE rules become one array of match structs per line, a column expression.
+More are rows of a table: one multi-pattern scan finds the rules whose required
+literal a line holds, and only these pairs meet the rule's expression. Either
+way lines are scanned once and never shuffled; rows appear only for matches.
 """
 
 from __future__ import annotations
@@ -11,10 +13,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEVERITIES = ("error", "warning", "suggestion", "info")  # ordinal 0 is the worst
 WORD_EDGE = re.compile(r"[A-Za-z0-9_']")
-METAVAR = re.compile(r"\$[A-Z][A-Z0-9]*|(?<![A-Za-z0-9_'])_[a-z]\w*")
+DOLLAR, UNDERSCORE = re.compile(r"\$[A-Z][A-Z0-9_]*"), re.compile(r"_[a-z][a-zA-Z0-9_]*")
+WIDE = 64
 #: Conditions that need types or a syntax tree; they hold in text mode.
 HOLD = frozenset(
     "has_type has_type_class type_matches is_maybe is_monad is_pure is_application is_lambda free_in not_free_in complexity_lt complexity_gt complexity_cond "
@@ -22,7 +26,9 @@ HOLD = frozenset(
 )
 #: Columns of the lines that conditions about a file read.
 READS = {"in_test_file": "path", "not_in_test_file": "path", "in_module": "module", "has_import": "content", "has_pragma": "content"}
-CAPTURE = r"([A-Za-z_][A-Za-z0-9_']*|[0-9]+)"
+# What a metavariable stands for, by name; others stand for an identifier, in the dialect "any" for anything.
+FUNCTION, NUMBER, TYPE, IDENTIFIER, ANYTHING = r"([a-z][a-zA-Z0-9'_]*)", r"([0-9]+)", r"([A-Z][a-zA-Z0-9'_]*)", r"([a-zA-Z_][a-zA-Z0-9_']*)", r"(.+)"
+CAPTURES = {"identifier": {"$F": FUNCTION, "$FUNC": FUNCTION, "$N": NUMBER, "$T": TYPE, "$TYPE": TYPE}, "any": {"$F": FUNCTION, "$FUNC": FUNCTION, "$N": NUMBER}}
 
 
 @dataclass(frozen=True)
@@ -41,32 +47,50 @@ class Rule:
     target: str = "any"  # any, code, comment, string
     conditions: tuple = field(default=())
     replacement: str | None = None
+    dialect: str = "identifier"  # or any: what $X stands for
 
 
 def smart_boundary(text: str) -> str:
     """Literal pattern; word boundaries only where its ends are word characters."""
     before = r"\b" if text and WORD_EDGE.match(text[0]) else ""
     after = r"\b" if text and WORD_EDGE.match(text[-1]) else ""
-    return before + re.sub(r"([.^$*+?()\[\]{}|\\])", r"\\\1", text) + after
+    return before + escaped(text) + after
+
+
+def escaped(text: str) -> str:
+    return re.sub(r"([.^$*+?()\[\]{}|\\])", r"\\\1", text)
+
+
+def metavariables(rule: Rule) -> list[str]:
+    """Names of a pattern's metavariables, each once: those with a dollar sign, then those with an underscore (not in the dialect any)."""
+    if rule.regex:
+        return []
+    found = DOLLAR.findall(rule.pattern) + (UNDERSCORE.findall(rule.pattern) if rule.dialect != "any" else [])
+    return list(dict.fromkeys(found))
 
 
 def compile_pattern(rule: Rule) -> tuple[str, list[str]]:
-    """Regular expression and the names of its captures, in order."""
+    """Regular expression and the names that its groups give values to, in order.
+
+    A pattern with a dollar sign or a metavariable has no word boundaries. Names go to groups by position, so a
+    repeated metavariable shifts the names behind it; equal values are not asked for.
+    """
     if rule.regex:
         return rule.pattern, []
-    names = METAVAR.findall(rule.pattern)
-    if not names:
+    names = metavariables(rule)
+    if not names and "$" not in rule.pattern:
         return smart_boundary(rule.pattern), []
-    parts = METAVAR.split(rule.pattern)
-    quoted = [re.sub(r"([.^$*+?()\[\]{}|\\])", r"\\\1", p).replace(" ", r"\s+") for p in parts]
-    return CAPTURE.join(quoted), names
+    out, classes = escaped(rule.pattern), CAPTURES[rule.dialect]
+    for name in reversed(names):
+        out = out.replace(escaped(name), classes.get(name, ANYTHING if rule.dialect == "any" else IDENTIFIER))
+    return out, names
 
 
 def required_literal(rule: Rule) -> str:
     """A text that every match of the rule holds; empty if none is certain. A cheap gate before the expression."""
     if not rule.regex:
-        parts = [w for p in METAVAR.split(rule.pattern) for w in p.split()] if METAVAR.search(rule.pattern) else [rule.pattern]
-        return max(parts, key=len, default="")
+        names = sorted(metavariables(rule), key=len, reverse=True)
+        return max(re.split("|".join(map(re.escape, names)), rule.pattern), key=len) if names else rule.pattern
     x, runs, run, depth, i = rule.pattern, [], "", 0, 0
     if "|" in x or "(?" in x or r"\Q" in x:
         return ""
@@ -208,6 +232,8 @@ def match(lines: DataFrame, rules: list[Rule], scope: str | None = None) -> Data
     """
     text, at = F.col("text"), F.col("hit.at")
     rules = [r for r in rules if r.enabled]
+    if len(rules) > WIDE:
+        return _match_table(lines, rules, scope)
     found, what, captures, ok = [], F.lit(None).cast("string"), F.lit(None).cast("map<string,string>"), F.lit(True)
     for i, r in enumerate(rules):
         regex, names = compile_pattern(r)
@@ -222,7 +248,7 @@ def match(lines: DataFrame, rules: list[Rule], scope: str | None = None) -> Data
         mine = F.regexp_extract(text, regex, 0) if r.regex else F.regexp_extract(rest, anchored, 0) if names else F.lit(r.pattern)
         what = F.when(this, mine).otherwise(what)
         caught = F.lit(None).cast("map<string,string>")
-        if names and len(set(names)) == len(names):
+        if names:
             caught = F.create_map(*[x for k, n in reversed(list(enumerate(names))) for x in (F.lit(n), F.regexp_extract(rest, anchored, k + 1))])
             captures = F.when(this, caught).otherwise(captures)
         holds = [region(text, at) == r.target] * (r.target != "any") + [side_condition(c, text, caught) for c in r.conditions]
@@ -243,6 +269,70 @@ def match(lines: DataFrame, rules: list[Rule], scope: str | None = None) -> Data
     return rows.where("length(matched) > 0").select(*keep, "r.*", "col", "matched", "captures")
 
 
+def _candidates(lines: DataFrame, rules: list[Rule]) -> DataFrame:
+    """lines with the array rules: places of the rules whose required literal the line holds, and of those without one."""
+    import ahocorasick
+    import pyarrow as pa
+
+    always = [i for i, r in enumerate(rules) if not required_literal(r)]
+    by: dict[str, list[int]] = {}
+    for i, r in enumerate(rules):
+        if literal := required_literal(r):
+            by.setdefault(literal, []).append(i)
+
+    def run(batches):
+        machine = ahocorasick.Automaton()
+        for literal, places in by.items():
+            machine.add_word(literal, places)
+        if by:
+            machine.make_automaton()
+        for b in batches:
+            keep, found = [], []
+            for n, t in enumerate(b.column(b.schema.get_field_index("text")).to_pylist()):
+                if t is not None:
+                    hits = {i for _, places in machine.iter(t) for i in places} if by else set()
+                    if hits or always:
+                        keep.append(n)
+                        found.append(sorted([*hits, *always]))
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(keep, pa.int32())).columns, pa.array(found, pa.list_(pa.int32()))], [*b.schema.names, "rules"])
+
+    schema = T.StructType([*lines.schema.fields, T.StructField("rules", T.ArrayType(T.IntegerType()))])
+    return lines.mapInArrow(run, schema)
+
+
+def _match_table(lines: DataFrame, rules: list[Rule], scope: str | None) -> DataFrame:
+    """match() for many rules: pairs of a line and a rule from one scan for literals, then the rule's expression from its row."""
+    keep = ["file_id", "line_no", *([scope] if scope else [])]
+    read = {c for r in rules for c in columns_read(r.conditions)}
+    if read - set(lines.columns):
+        raise ValueError(f"conditions need lines with the columns {sorted(read - set(lines.columns))}")
+    more = sorted(read - {*keep, "text"})
+    compiled, special = [compile_pattern(r) for r in rules], {}
+    for r in rules:  # rules with equal checks share one
+        key = (r.target, r.conditions, *((r.within, r.excepted) if scope else ((), ())))
+        if key != ("any", (), (), ()):
+            special.setdefault(key, (len(special), r))
+    rows = []
+    for i, (r, (regex, names)) in enumerate(zip(rules, compiled)):
+        key = (r.target, r.conditions, *((r.within, r.excepted) if scope else ((), ())))
+        rows.append((i, r.id, r.category, r.severity, regex, names, special.get(key, (-1,))[0]))
+    table = lines.sparkSession.createDataFrame(rows, "i int, rule string, category string, severity int, regex string, names array<string>, special int")
+    pairs = _candidates(lines.select(*dict.fromkeys([*keep, *more, "text"])), rules)
+    pairs = pairs.withColumn("i", F.explode("rules")).drop("rules").join(F.broadcast(table), "i")  # a row a rule
+    pairs = pairs.withColumn("col", F.expr("regexp_instr(text, regex)")).where("col > 0")
+    pairs = pairs.withColumn("matched", F.expr("regexp_extract(text, regex, 0)")).where("length(matched) > 0")
+    caught = F.expr("CASE WHEN size(names) > 0 THEN map_from_arrays(names, transform(names, (n, k) -> regexp_extract(text, regex, k + 1))) END")
+    pairs = pairs.withColumn("captures", caught)
+    ok = F.lit(True)
+    for at, r in special.values():
+        holds = [region(F.col("text"), F.col("col")) == r.target] * (r.target != "any") + [side_condition(c, F.col("text"), F.col("captures")) for c in r.conditions]
+        if scope and (r.within or r.excepted):
+            holds.append(in_scope(r, F.col(scope)))
+        for h in holds:
+            ok = ok & ((F.col("special") != at) | h)
+    return pairs.where(ok).select(*keep, "rule", "category", "severity", "col", "matched", "captures")
+
+
 def effective_severity(hits: DataFrame, by_rule: dict[str, int], by_category: dict[str, int]) -> DataFrame:
     """Severity overridden by rule, else by category."""
     lookup = lambda d, c: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col(c)] if d else F.lit(None).cast("int")
@@ -252,4 +342,5 @@ def effective_severity(hits: DataFrame, by_rule: dict[str, int], by_category: di
 def interpolate(message: Column, captures: Column) -> Column:
     """A message with its metavariables replaced by their captures."""
     pairs = F.map_entries(captures)
-    return F.when(captures.isNull(), message).otherwise(F.aggregate(pairs, message, lambda m, e: F.replace(m, e["key"], e["value"])))
+    by_length = F.array_sort(pairs, lambda a, b: F.length(b["key"]) - F.length(a["key"]))  # so that $X never cuts $XS
+    return F.when(captures.isNull(), message).otherwise(F.aggregate(by_length, message, lambda m, e: F.replace(m, e["key"], e["value"])))

@@ -27,7 +27,7 @@ def test_targets_and_conditions(spark):
 
 
 def test_file_and_literal_conditions_and_unknown_names(spark):
-    rows = [(1, 1, "f 1.5", "src/A.hs", "Data.A", "import Data.Map"), (2, 1, "f xs", "test/A.hs", "Main", "{-# X #-}"), (3, 1, 'f ys "', "src/ASpec.hs", "Data.B", None)]
+    rows = [(1, 1, "f e15", "src/A.hs", "Data.A", "import Data.Map"), (2, 1, "f xs", "test/A.hs", "Main", "{-# X #-}"), (3, 1, 'f ys "', "src/ASpec.hs", "Data.B", None)]
     ls = spark.createDataFrame(rows, "file_id long, line_no int, text string, path string, module string, content string")
     got = lambda *c, lines=ls: sorted(r.file_id for r in rules.match(lines, [rules.Rule("r", "f $X", conditions=c)]).collect())
     assert got(("not_in_test_file",)) == [1] and got(("not", ("in_test_file",))) == [1] and got(("in_test_file",)) == [2, 3]
@@ -189,7 +189,7 @@ def test_levels_and_plugin(spark):
 def test_the_literal_gate_is_held_by_every_match():
     q = lambda p: rules.required_literal(rules.Rule("r", p, regex=True))
     assert [q(p) for p in ("a|b", "ab?cd*(efgh)+x{0,2}yz", r"\bfoo\s+bar", "[]abc]de+f", r"[0-9]{1,3}\.[0-9]", "(?i)abc")] == ["", "yz", "foo", "de", ".", ""]
-    assert rules.required_literal(rules.Rule("r", "$X of $Y")) == "of"
+    assert rules.required_literal(rules.Rule("r", "$X of $Y")) == " of "
 
 
 def test_matching_keeps_the_first_match_with_its_captures_and_conditions(spark):
@@ -213,3 +213,28 @@ def test_reports_on_no_findings(spark):
     r = reports.summary(none).first()
     assert (r.files, r.issues, r.debt, r.security_score, r.risk) == (0, 0, 0, 100.0, "minimal")
     assert reports.top_issues(none, 3).count() == 0 and reports.breakdown(none, "rule").count() == 0
+
+
+def test_a_catalogue_of_1153_rules_gives_what_single_rules_give(spark):
+    from sourcelode.operators import catalogue
+
+    rs = [*catalogue.configurable(), rules.Rule("re", "[0-9]+x", regex=True), rules.Rule("scoped", "zap", within=("A*",), excepted=("AB",)), rules.Rule("code", "zap", target="code"), rules.Rule("cond", "f $X $N", conditions=(("not_equal", "$X", "$N"),))]
+    rs += [rules.Rule(f"word-{i}", f"word{i}") for i in range(1153 - len(rs))]
+    texts = ["length xs == 0", "concat $ map f xs", "let y = head (sort zs) in word7 word77", 'zap "zap"', '-- zap 12x', "f e 15", "trace msg value", "xs !! 3", None, "", "fromJust m >>= return x"]
+    lines = spark.createDataFrame([(i, 1, t, ("AA", "AB", "B")[i % 3]) for i, t in enumerate(texts * 2)], "file_id long, line_no int, text string, module string")
+    row = lambda r: (r.file_id, r.rule, r.severity, r.col, r.matched, str(sorted((r.captures or {}).items())))
+    got = sorted(map(row, rules.match(lines, rs, scope="module").collect()))
+    few = [r for r in rs if r.id in {g[1] for g in got} or r.id in ("word-1", "re", "scoped", "code", "cond")][:60]
+    want = sorted(map(row, rules.match(lines, few, scope="module").collect()))
+    assert len(rs) == 1153 and got == want and {"performance/length-null", "scoped", "code", "cond", "re", "word-7", "partial/bang-index"} <= {g[1] for g in got}
+
+
+def test_typed_metavariables(spark):
+    one = lambda pattern, text, **k: (rules.match(lines_of(spark, text), [rules.Rule("r", pattern, **k)]).collect() or [None])[0]
+    assert one("take $N $X", "take 5 xs").captures == {"$N": "5", "$X": "xs"} and one("take $N $X", "take n xs") is None
+    assert one("$T -> $F", "Int -> go").captures == {"$T": "Int", "$F": "go"} and one(":: $T", ":: int") is None
+    assert one("a _y", "a b").captures == {"_y": "b"} and one("f $X", "f 3") is None
+    assert one("head $X", "x = head (sort ys)", dialect="any").captures == {"$X": "(sort ys)"}
+    assert one("$X + $X", "a + b").captures == {"$X": "a"}
+    hits = rules.match(lines_of(spark, "f ab cd"), [rules.Rule("r", "f $X $XS")])
+    assert hits.select(rules.interpolate(F.lit("$XS $X"), F.col("captures")).alias("m")).first().m == "cd ab"
