@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import FOLD, fold_of, materialise, slim, table
 
 CHUNK_BYTES, CHUNK_DOCS, PROBES, BASE, MAX_FILTER_MB = 6_000_000, 60_000, 5, 1.5, 128
-SHARD_BYTES = 24_000_000  # of text, on average
+SHARD_BYTES = 10_000_000  # of text, on average
 FLOOR = 0.1
 START = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -398,7 +398,7 @@ def lm_scores(docs: DataFrame, train_fold=None, max_filter_mb: int = MAX_FILTER_
     train = fold_of(F.col("doc_id"), 10) != 0 if train_fold is None else F.coalesce(train_fold, F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("thash"), train.alias("train"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(16, max(2, math.ceil(math.log2(size / SHARD_BYTES + 1))))  # 65,536 shards hold 1.5 TB of text at that size, and grow beyond it
+    bits = min(16, max(2, math.ceil(math.log2(size / SHARD_BYTES + 1))))  # 65,536 shards hold 650 GB of text at that size, and grow beyond it
     packed = rows.mapInArrow(_pack(bits), PACKED)
     reduce, schema = _reduce()
     counted = materialise(packed.groupBy("kind", "shard").applyInArrow(reduce, schema), "lm-counts")
