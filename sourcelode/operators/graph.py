@@ -122,3 +122,54 @@ def levels(edges: DataFrame, most: int | None = None) -> DataFrame:
             parts = [materialise(_union(parts), "levels")]
         left = materialise(left.join(free.select("node"), "node", "left_anti"), "levels")
         level += 1
+
+
+def paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, path: a shortest path from the nearest root to every node it reaches, of equal ones the least; breadth first, until no node is new."""
+    front = seen = materialise(roots.select("node").distinct().withColumn("path", F.array("node")), "paths")
+    while True:
+        step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
+        step = step.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
+        front = materialise(step, "paths")
+        if front.isEmpty():
+            return seen
+        seen = materialise(seen.unionByName(front), "paths")
+
+
+def infected(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """node, source: every module that imports a source, directly or not, and the source itself. edges: src imports dst; sources: node.
+
+    Pairs grow by the new ones only, until there is none.
+    """
+    back = materialise(edges.select(F.col("dst").alias("node"), F.col("src").alias("up")).distinct(), "infected")
+    front = seen = materialise(sources.select("node", F.col("node").alias("source")).distinct(), "infected")
+    while True:
+        step = front.join(back, "node").select(F.col("up").alias("node"), "source").distinct()
+        front = materialise(step.join(seen, ["node", "source"], "left_anti"), "infected")
+        if front.isEmpty():
+            return seen
+        seen = materialise(seen.unionByName(front), "infected")
+
+
+def max_depth(edges: DataFrame) -> int:
+    """Edges of the longest chain of imports; parts on a cycle are cut off there."""
+    known = levels(edges).agg(F.max("level")).first()[0]
+    return known or 0
+
+
+def abstractness(exports: DataFrame) -> DataFrame:
+    """module and the share of its exports that begin with a capital or hold a dot. exports: module, name."""
+    type_like = F.col("name").rlike(r"^[A-Z]|\.")
+    return exports.groupBy("module").agg(F.avg(type_like.cast("double")).alias("abstractness"))
+
+
+def main_sequence(coupled: DataFrame, abstract: DataFrame) -> DataFrame:
+    """Coupling with abstractness (0 without exports) and the distance from the main sequence, |A + I - 1|."""
+    j = coupled.join(abstract, "module", "left").fillna(0.0, ["abstractness"])
+    return j.withColumn("distance", F.abs(F.col("abstractness") + F.col("instability") - 1))
+
+
+def by_dependents(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """file and dependents (distinct files that need it), most first; ties by file."""
+    n = edges.groupBy(F.col("dst").alias("file")).agg(F.countDistinct("src").alias("dependents"))
+    return files.join(n, "file", "left").fillna(0, ["dependents"]).orderBy(F.desc("dependents"), "file")

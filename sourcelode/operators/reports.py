@@ -59,9 +59,53 @@ def summary(findings: DataFrame, file: str = "file_id", security: str = "securit
 
 
 def owned(findings: DataFrame, owners: DataFrame, path: str) -> DataFrame:
-    """Findings by owner, whose prefix the path starts with; a path with several owners counts for each. owners: owner, prefix (few rows)."""
-    joined = findings.join(owners, F.col(path).startswith(F.col("prefix")))
-    return joined.groupBy("owner").agg(F.countDistinct(path).alias("files"), F.count(F.lit(1)).alias("issues"), count_if(F.col("severity") == 0).alias("errors"))
+    """Findings by owner, whose prefix the path starts with; a path with several owners counts for each. owners: owner, prefix.
+
+    Paths meet prefixes by equality: each distinct path is cut at the lengths that prefixes have.
+    """
+    sizes = [r["n"] for r in owners.select(F.length("prefix").alias("n")).distinct().collect()]  # as many as there are lengths
+    cuts = F.array(*[F.when(F.length(F.col(path)) >= n, F.substring(F.col(path), 1, n)) for n in sizes]) if sizes else F.array(F.lit(None).cast("string"))
+    held = findings.select(F.col(path).alias("path"), "severity").where("path IS NOT NULL").groupBy("path").agg(F.count(F.lit(1)).alias("n"), count_if(F.col("severity") == 0).alias("e"))
+    joined = held.withColumnRenamed("path", path).withColumn("prefix", F.explode(F.array_distinct(F.array_compact(cuts)))).join(owners.select("owner", "prefix").distinct(), "prefix")
+    one = joined.groupBy("owner", path).agg(F.first("n").alias("n"), F.first("e").alias("e"))
+    return one.groupBy("owner").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("issues"), F.sum("e").alias("errors"))
+
+
+def sla(found: DataFrame, most_errors: int, most_issues: int, least_quality: float) -> DataFrame:
+    """metric, target, actual, met: errors, issues and quality of a summary (one row) against their targets, and their share as compliance."""
+    row = lambda name, target, met: F.struct(F.lit(name).alias("metric"), F.lit(float(target)).alias("target"), F.col(name).cast("double").alias("actual"), met.alias("met"))
+    errors, issues, quality = F.col("errors") <= most_errors, F.col("issues") <= most_issues, F.col("quality") >= least_quality
+    rows = found.select(F.inline(F.array(row("errors", most_errors, errors), row("issues", most_issues, issues), row("quality", least_quality, quality))))
+    return rows.withColumn("compliance", F.avg(F.col("met").cast("double")).over(Window.partitionBy()) * 100)
+
+
+def compliance(findings: DataFrame, checks: DataFrame, security: str = "security") -> DataFrame:
+    """One row: checks, those passed (no finding of their rule), their share in per cent, violations (security findings) and status. checks: rule."""
+    broken = checks.select("rule").distinct().join(findings.select("rule").distinct().withColumn("_hit", F.lit(True)), "rule", "left")
+    a = broken.agg(F.count(F.lit(1)).alias("checks"), count_if(F.col("_hit").isNull()).alias("passed"))
+    v = findings.agg(count_if(F.col("category") == security).alias("violations"))
+    out = a.crossJoin(v).withColumn("score", F.when(F.col("checks") == 0, 100.0).otherwise(F.col("passed") / F.col("checks") * 100))  # one row each
+    return out.withColumn("status", F.when(F.col("violations") > 0, "partial").when(F.col("score") < 100, "failed").otherwise("compliant"))
+
+
+def projects(findings: DataFrame, project: str) -> DataFrame:
+    """project (null: all of them), files, issues, errors, warnings and others of every project and of the workspace."""
+    sev = F.col("severity")
+    counts = [F.count(F.lit(1)).alias("issues"), count_if(sev == 0).alias("errors"), count_if(sev == 1).alias("warnings"), count_if(sev > 1).alias("others")]
+    return findings.rollup(project).agg(F.countDistinct("file_id").alias("files"), *counts)
+
+
+def by_category_and_rule(findings: DataFrame) -> DataFrame:
+    """category, rule and n, by category, by rule and in all."""
+    return findings.groupingSets([["category"], ["rule"], []], "category", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged(parts: list[DataFrame]) -> DataFrame:
+    """rule, severity and n of several partial counts together."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("rule", "severity").agg(F.sum("n").alias("n"))
 
 
 def over_limit(actual: DataFrame, limits: DataFrame, key: str) -> DataFrame:

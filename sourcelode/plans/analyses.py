@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import api, baseline, catalogue, comments, fixes, fixgraph, rules, scalars, similarity, trends, unused
+from ..operators import api, baseline, catalogue, comments, fixes, fixgraph, graph, reports, rules, scalars, similarity, trends, unused
 from ..session import table
+from ..sources import documents
 from ..streaming import cache
 from .catalog import _EDITS, _LINES, _edits, _lines, query
 
@@ -292,3 +293,86 @@ def clone_hotspots(spark, sf):
 def best_clones(spark, sf):
     c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_discount").alias("similarity"), F.expr("CASE l_returnflag WHEN 'A' THEN 'exact' WHEN 'N' THEN 'structural' ELSE 'similar' END").alias("kind"), F.col("l_quantity").alias("places"), F.col("l_linenumber").alias("clone"))
     return similarity.best_clone(c, ["k"]).select("k", "clone")
+
+
+def _own_edges(spark, sf):
+    from .catalog import _edges as nation_edges
+
+    return nation_edges(spark, sf)
+
+
+def _edges_sql():
+    from .catalog import _EDGES as edges
+
+    return edges
+
+
+@query(f"WITH RECURSIVE {_edges_sql()}, R(node, path) AS (SELECT 'n0', ['n0'] UNION ALL SELECT dst, list_append(path, dst) FROM R JOIN E ON src = node WHERE NOT list_contains(path, dst) AND len(path) < 26) SELECT node, array_to_string(min_by(path, (len(path), path)), '>') AS path FROM R GROUP BY node")
+def shortest_paths(spark, sf):
+    d = graph.paths(_own_edges(spark, sf), spark.createDataFrame([("n0",)], "node string"))
+    return d.select("node", F.concat_ws(">", "path").alias("path"))
+
+
+@query(f"WITH RECURSIVE {_edges_sql()}, R(node, source) AS (SELECT n, n FROM (VALUES ('n3'), ('n7')) t(n) UNION SELECT src, source FROM R JOIN E ON dst = node) SELECT node, source FROM R")
+def infected_modules(spark, sf):
+    return graph.infected(_own_edges(spark, sf), spark.createDataFrame([("n3",), ("n7",)], "node string"))
+
+
+@query(f"WITH {_edges_sql()}, C AS (SELECT src AS module, count(DISTINCT dst) AS ce FROM E GROUP BY 1), A AS (SELECT dst AS module, count(DISTINCT src) AS ca FROM E GROUP BY 1), M AS (SELECT module, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce, coalesce(ce, 0) / (coalesce(ca, 0) + coalesce(ce, 0)) AS instability FROM C FULL JOIN A USING (module)), X AS (SELECT 'n' || c_nationkey AS module, avg(CASE WHEN regexp_matches(c_mktsegment, '^[A-F]') OR contains(c_mktsegment, '.') THEN 1.0 ELSE 0.0 END) AS a FROM customer GROUP BY 1) SELECT module, ca, ce, instability, coalesce(a, 0.0) AS abstractness, abs(coalesce(a, 0.0) + instability - 1) AS distance FROM M LEFT JOIN X USING (module)")
+def main_sequence(spark, sf):
+    names = table(spark, sf, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("module"), F.when(F.col("c_mktsegment").rlike("^[A-F]"), F.col("c_mktsegment")).otherwise(F.lower("c_mktsegment")).alias("name"))
+    return graph.main_sequence(graph.coupling(_own_edges(spark, sf)), graph.abstractness(names))
+
+
+@query(f"WITH {_edges_sql()} SELECT 'n' || n_nationkey AS file, count(DISTINCT src) AS dependents FROM nation LEFT JOIN E ON dst = 'n' || n_nationkey GROUP BY 1")
+def files_by_dependents(spark, sf):
+    files = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("file"))
+    return graph.by_dependents(files, _own_edges(spark, sf))
+
+
+_FINDINGS = "H AS (SELECT l_suppkey AS file_id, 's' || l_suppkey AS path, l_returnflag AS category, 'r' || l_linenumber AS rule, (l_partkey % 4)::INT AS severity FROM lineitem)"
+
+
+def _findings(spark, sf):
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("file_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("path"), F.col("l_returnflag").alias("category"), F.concat(F.lit("r"), F.col("l_linenumber").cast("string")).alias("rule"), F.expr("int(l_partkey % 4)").alias("severity"))
+
+
+@query(f"WITH {_FINDINGS}, O(owner, prefix) AS (VALUES ('a', 's1'), ('b', 's12'), ('b', 's2'), ('c', 's')) SELECT owner, count(DISTINCT path) AS files, count(*) AS issues, count(*) FILTER (severity = 0) AS errors FROM (SELECT DISTINCT owner, path, o.n FROM O JOIN (SELECT path, 1 AS n FROM H GROUP BY path) o ON starts_with(path, prefix)) P JOIN H USING (path) GROUP BY owner")
+def findings_by_owner(spark, sf):
+    owners = spark.createDataFrame([("a", "s1"), ("b", "s12"), ("b", "s2"), ("c", "s")], "owner string, prefix string")
+    return reports.owned(_findings(spark, sf), owners, "path")
+
+
+@query(f"WITH {_FINDINGS}, S AS (SELECT count(*) AS issues, count(*) FILTER (severity = 0) AS errors FROM H), M AS (SELECT 'errors' AS metric, 100.0::DOUBLE AS target, errors::DOUBLE AS actual, errors <= 100 AS met FROM S UNION ALL SELECT 'issues', 1000000.0, issues, issues <= 1000000 FROM S UNION ALL SELECT 'quality', 50.0, 60.0, true FROM S) SELECT *, avg(met::INT) OVER () * 100 AS compliance FROM M")
+def sla_report(spark, sf):
+    one = _findings(spark, sf).agg(F.count(F.lit(1)).alias("issues"), reports.count_if(F.col("severity") == 0).alias("errors"), F.lit(60.0).alias("quality"))
+    return reports.sla(one, 100, 1000000, 50.0)
+
+
+@query(f"WITH {_FINDINGS} SELECT 9::BIGINT AS checks, 9 - count(DISTINCT rule) AS passed, count(*) FILTER (category = 'R') AS violations, (9 - count(DISTINCT rule)) / 9 * 100 AS score, CASE WHEN count(*) FILTER (category = 'R') > 0 THEN 'partial' ELSE 'failed' END AS status FROM H")
+def compliance_report(spark, sf):
+    checks = spark.createDataFrame([(f"r{i}",) for i in range(1, 10)], "rule string")
+    return reports.compliance(_findings(spark, sf), checks, "R")
+
+
+@query(f"WITH {_FINDINGS} SELECT category, count(DISTINCT file_id) AS files, count(*) AS issues, count(*) FILTER (severity = 0) AS errors, count(*) FILTER (severity = 1) AS warnings, count(*) FILTER (severity > 1) AS others FROM H GROUP BY ROLLUP (category)")
+def project_reports(spark, sf):
+    return reports.projects(_findings(spark, sf), "category")
+
+
+@query(f"WITH {_FINDINGS} SELECT category, rule, count(*) AS n FROM H GROUP BY GROUPING SETS ((category), (rule), ())")
+def findings_by_category_and_rule(spark, sf):
+    return reports.by_category_and_rule(_findings(spark, sf))
+
+
+@query(f"WITH {_FINDINGS} SELECT rule, severity, count(*) AS n FROM H GROUP BY ALL")
+def merged_results(spark, sf):
+    h = _findings(spark, sf)
+    part = lambda c: h.where(c).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return reports.merged([part(F.col("category") == "R"), part(F.col("category") != "R")])
+
+
+@query("SELECT part, concat_ws(':', file, line, col) AS place, value FROM (SELECT 1 AS part, l_suppkey::VARCHAR AS file, lpad(l_linenumber::VARCHAR, 10, '0') AS line, lpad((l_partkey % 90)::VARCHAR, 10, '0') AS col, l_suppkey || ':' || l_linenumber || ':' || (l_partkey % 90) || ': ' || CASE l_partkey % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' WHEN 2 THEN 'suggestion' ELSE 'info' END || ': [' || l_returnflag || '] ' || l_linestatus AS value FROM lineitem)")
+def plain_report(spark, sf):
+    d = table(spark, sf, "lineitem").selectExpr("string(l_suppkey) AS file", "l_linenumber AS line", "int(l_partkey % 90) AS col", "int(l_partkey % 4) AS severity", "l_returnflag AS rule", "l_linestatus AS message")
+    return documents.plain_document(d).select("part", F.concat_ws(":", F.slice("place", 1, 3)).alias("place"), "value")

@@ -1,10 +1,13 @@
 import json
 import random
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
-from sourcelode.operators import baseline, comments, fixgraph, scalars, similarity, suppress, trends, unused
+from sourcelode.functions import plugins
+from sourcelode.operators import baseline, comments, fixgraph, graph, scalars, similarity, suppress, trends, unused
+from sourcelode.sources import documents, profiles
 from sourcelode.streaming import cache
 
 
@@ -134,3 +137,58 @@ def test_cache_update_and_empty_inputs(spark):
     symbols = spark.createDataFrame([("M.f", "function", "f", 1, 1, False), ("M.main", "function", "f", 2, 1, None), ("M.$cshow", "function", "f", 3, 1, False), ("M.+#", "function", "f", 4, 1, False)], "name string, kind string, file string, line int, col int, th boolean")
     got = unused.detect(symbols, spark.createDataFrame([], "src string, dst string"), ["main$"]).collect()
     assert [(r.name, r.finding) for r in got] == [("M.f", "field"), ("M.f", "function")]
+
+
+def test_report_documents(spark, tmp_path):
+    rows = [("b.hs", 10, 1, 0, "r", 'say "<x>" | y'), ("a.hs", 2, 3, 1, "q", "m"), ("a.hs", 10, 1, 3, "r", None), ("a.hs", 10, 1, 3, "r", None)]
+    found = spark.createDataFrame(rows, "file string, line int, col int, severity int, rule string, message string")
+    text = lambda form, d=found: "\n".join(r.value for r in documents.FORMATS[form](d).orderBy("part", "place").collect())
+    empty = found.limit(0)
+    assert [(d["file"], d["line"]) for d in json.loads(text("json"))["diagnostics"]] == [("a.hs", 2), ("a.hs", 10), ("a.hs", 10), ("b.hs", 10)]
+    assert json.loads(text("json", empty))["diagnostics"] == []
+    run = json.loads(text("sarif"))["runs"][0]
+    assert [r["id"] for r in run["tool"]["driver"]["rules"]] == ["q", "r"] and len(run["results"]) == 4 and run["results"][0]["level"] == "warning"
+    assert json.loads(text("sarif", empty))["runs"][0]["results"] == []
+    for form, tag in (("checkstyle", "error"), ("junit", "failure")):
+        root = ElementTree.fromstring(text(form).split("\n", 1)[1])
+        assert len(list(root.iter(tag))) == 4 and [x.get("name") for x in root] == ["a.hs", "b.hs"]
+    assert text("plain").startswith("a.hs:2:3: warning: [q] m\n") and text("markdown").count("\n") == 7 and "&lt;x&gt;" in text("html")
+    documents.write(found, "sarif", str(tmp_path / "out"))
+    assert json.loads("\n".join(r.value for r in spark.read.text(str(tmp_path / "out")).collect()))["version"] == "2.1.0"
+
+
+def test_profile_readers(spark, tmp_path):
+    rows = ["COST CENTRE MODULE SRC no. entries %time", "MAIN         Main    <built-in>       100   0    0.0    0.1  100.0  100.0", "  go         Data.A  src/A.hs:(3,1)-(5,9)  101   7   60.5   12.0   61.0   13.0"]
+    got = profiles.cost_centres(spark.createDataFrame([(x,) for x in rows], "text string"))
+    assert [(r.name, r.module, r.entries, r.time, r.depth) for r in got.collect()] == [("MAIN", "Main", 0, 0.0, 0), ("go", "Data.A", 7, 60.5, 2)]
+    span = lambda s: spark.range(1).select(profiles.span_lines(F.lit(s)).alias("s")).first().s
+    assert tuple(span("src/A.hs:(3,1)-(5,9)")) == ("src/A.hs", 3, 5) and tuple(span("B.hs:7:1-20")) == ("B.hs", 7, 7) and span("<built-in>") is None
+    (tmp_path / "b.json").write_text(json.dumps([{"reportName": "x", "reportAnalysis": {"anMean": {"estPoint": 0.5}, "anStdDev": {"estPoint": 0.1}}}]))
+    assert [tuple(r) for r in profiles.benchmarks(spark, str(tmp_path / "b.json")).collect()] == [("x", 0.5, 0.1)]
+    profiles.append_snapshot(spark.createDataFrame([(3,)], "issues int"), str(tmp_path / "h"), "2024-01-01")
+    profiles.append_snapshot(spark.createDataFrame([(4,)], "issues int"), str(tmp_path / "h"), "2024-01-02")
+    assert sorted(r.issues for r in profiles.history(spark, str(tmp_path / "h"), "issues int").collect()) == [3, 4]
+    paths = spark.createDataFrame([("a/b/x.cabal",), ("a/b/src/M.hs",), ("stack.yaml",)], "path string")
+    assert sorted(r.root for r in profiles.projects(paths).collect()) == [".", "a/b"]
+    (tmp_path / "i.toml").write_text('[modules]\n"Data.Map" = ["insert", "lookup"]\n"Data.Set" = ["insert"]\n')
+    assert sorted(tuple(r) for r in profiles.import_table(spark, str(tmp_path / "i.toml")).collect()) == [("insert", "Data.Map", 0), ("insert", "Data.Set", 1), ("lookup", "Data.Map", 0)]
+    assert profiles.settings("X_", {"X_A__B": "1", "Y": "2"}, {"c": "3"}) == {"a.b": "1", "c": "3"}
+
+
+def test_hooks_packs_and_failing_plugins(spark):
+    hooks = plugins.Hooks()
+    hooks.add("after_rules", lambda d: d.where("x > 1"))
+    hooks.add("after_rules", lambda d: 1 / 0)
+    hooks.add("after_rules", lambda d: d.where("x > 2"))
+    assert hooks.run("after_rules", spark.createDataFrame([(1,), (2,), (3,)], "x int")).count() == 1
+    with pytest.raises(ValueError):
+        hooks.add("later", lambda d: d)
+    packs = {"a": {"include": ["b"], "rules": ["1"], "exclude": ["3"]}, "b": {"include": ["a"], "rules": ["2", "3"]}}
+    assert plugins.expand_packs(packs, "a") == {"1", "2"} and plugins.merge_packs(list(packs.values())) == {"1", "2"}
+    lines = spark.createDataFrame([(1, 1, "ok"), (1, 2, "boom")], "file_id long, line_no int, text string")
+    got = plugins.run_plugin(lines, lambda t: [("r", 1, t)] if t == "ok" else [1 / 0]).collect()
+    assert sorted((r.line_no, r.rule) for r in got) == [(1, "r"), (2, plugins.FAILED)]
+
+
+def test_depth_of_a_chain(spark):
+    assert graph.max_depth(spark.createDataFrame([(i, i + 1) for i in range(40)], "src int, dst int")) == 40
