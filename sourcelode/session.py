@@ -13,15 +13,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
+    """The folder that driver and executors share, from spark.checkpoint.dir, with one folder for this application.
 
-    Where the session names none (tests on one machine) a local folder is set.
+    Where the session names none, a local folder is set if all runs on one machine; on a cluster that is an error,
+    because a lost executor would take the files with it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file:///tmp/checkpoints/sourcelode"
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Removes every file that materialise() wrote for this application; results that read them must be done by then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

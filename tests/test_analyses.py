@@ -1,10 +1,12 @@
 import json
+import os
 import random
 from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
+from sourcelode import session
 from sourcelode.functions import plugins
 from sourcelode.operators import baseline, comments, fixgraph, graph, scalars, similarity, suppress, trends, unused
 from sourcelode.sources import documents, profiles
@@ -192,3 +194,11 @@ def test_hooks_packs_and_failing_plugins(spark):
 
 def test_depth_of_a_chain(spark):
     assert graph.max_depth(spark.createDataFrame([(i, i + 1) for i in range(40)], "src int, dst int")) == 40
+
+
+def test_files_of_an_application_are_released(spark, tmp_path):
+    kept = session.materialise(spark.range(3), "kept")
+    folder = session.shared_dir(spark).removeprefix("file://")
+    assert kept.count() == 3 and spark.sparkContext.applicationId in folder and os.listdir(folder)
+    session.release(spark)
+    assert not os.path.exists(folder)
