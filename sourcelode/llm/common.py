@@ -27,3 +27,12 @@ def words_of(text: Column) -> Column:
 def slim(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: str) -> DataFrame:
     """Only the columns an operator needs, under fixed names, so that extra columns cannot clash."""
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *[docs[c].alias(k) for k, c in more.items()])
+
+
+def spread_sample(docs: DataFrame, n: int) -> Column | None:
+    """Condition that holds for the n rows of docs (doc_id, text) of least hash of id, then of text, and for their equals; None without rows."""
+    of_id, of_text = F.xxhash64("doc_id"), F.xxhash64("text")
+    least = docs.select(F.struct(of_id.alias("i"), of_text.alias("t")).alias("h")).orderBy("h").limit(n).agg(F.max("h").alias("h")).first()["h"]
+    if least is None:
+        return None
+    return (of_id < least["i"]) | ((of_id == least["i"]) & (of_text <= least["t"]))

@@ -30,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, spread_sample, table
 
 SAMPLE_DOCS, SIDE, SMOOTH, HOST_PULL = 2000, 64, 0.5, 4.0
 # Letters with a symbol of their own; others share the symbols after them.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåæçèéêëìíîïñòóôöõøùúûüßœ"
-HIDDEN = re.compile(r"<(script|style|noscript|template|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+# Elements whose content is not shown.
+UNSHOWN = ("script", "style", "noscript", "template", "nav")
+OPENING = re.compile(rf"<(?:(!--)|({'|'.join(UNSHOWN)})\b)?", re.I)
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in UNSHOWN} | {"!--": re.compile("-->"), "": re.compile(">")}
 
 
 def _symbols() -> np.ndarray:
@@ -50,7 +53,27 @@ def _symbols() -> np.ndarray:
 
 
 def visible(page: str) -> str:
-    return _html.unescape(HIDDEN.sub(" ", page))
+    """A page without tags, comments and unshown elements, in one scan forward: an end that is missing once is not looked for again."""
+    out, at, missing = [], 0, set()
+    while m := OPENING.search(page, at):
+        start, end = m.start(), None
+        for kind in (m.group(1) or (m.group(2) or "").lower(), ""):
+            if kind not in missing:
+                end = CLOSING[kind].search(page, m.end() if kind == "!--" else start)
+                if end is None:
+                    missing.add(kind)
+            if end is not None or not kind:
+                break
+        if end is None:  # no tag: the sign is text
+            out.append(page[at : start + 1])
+            at = start + 1
+            if "" in missing:
+                break
+        else:
+            out += [page[at:start], " "]
+            at = end.end()
+    out.append(page[at:])
+    return _html.unescape("".join(out))
 
 
 class Trigrams:
@@ -68,10 +91,9 @@ class Trigrams:
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and the log probability of every trigram in each; from about sample_docs documents spread by a hash of their ids."""
+    """Languages in order, and the log probability of every trigram in each; from about sample_docs documents spread by a hash of their ids (of equal ids by one of their texts, so repeated ids do not widen it)."""
     docs = docs.select("doc_id", "text", F.lower("lang").alias("lang")).where("lang is not null and text is not null")
-    spread = F.xxhash64("doc_id")
-    least = docs.select(spread.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h").alias("h")).first()["h"]
+    chosen = spread_sample(docs, sample_docs)
 
     def run(batches):
         grams, seen = Trigrams(), {}
@@ -85,9 +107,9 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], n
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "at": pa.array(at), "n": pa.array(counts[at])})
 
-    if least is None:
+    if chosen is None:
         return [], np.zeros((0, SIDE**3), np.float32)
-    rows = docs.where(spread <= least).select("text", "lang").mapInArrow(run, "lang string, at long, n long")
+    rows = docs.where(chosen).select("text", "lang").mapInArrow(run, "lang string, at long, n long")
     rows = rows.groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()  # SIDE ** 3 a language at most
     langs = sorted({r["lang"] for r in rows})
     counts = np.full((len(langs), SIDE**3), SMOOTH)

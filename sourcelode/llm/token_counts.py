@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slim, table
+from .common import slim, spread_sample, table
 
 SAMPLE_DOCS, TABLE_SIZE, CACHE_SIZE, CHUNK_CHARS = 1024, 65_536, 250_000, 250_000
 
@@ -80,10 +80,9 @@ def _unpack(packed: tuple[bytes, bytes]) -> dict[str, int]:
 
 
 def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, table_size: int = TABLE_SIZE) -> dict[str, int]:
-    """Token counts of the most frequent pre-tokens of about sample_docs documents, spread by a hash of their ids."""
-    spread = F.xxhash64("doc_id")
-    least = docs.select(spread.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h").alias("h")).first()["h"]
-    if least is None:
+    """Token counts of the most frequent pre-tokens of about sample_docs documents, spread by a hash of their ids (of equal ids by one of their texts, so repeated ids do not widen it)."""
+    chosen = spread_sample(docs, sample_docs)
+    if chosen is None:
         return {}
 
     def tally(batches):
@@ -96,7 +95,7 @@ def frequent_lengths(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS,
         top = seen.most_common(table_size)
         yield pa.RecordBatch.from_pydict({"piece": pa.array([p for p, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
-    parts = docs.where(spread <= least).select("text").mapInArrow(tally, "piece string, n long")
+    parts = docs.where(chosen).select("text").mapInArrow(tally, "piece string, n long")
     top = parts.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(table_size).collect()
     counter = ByteLevelCounter(path)
     counter.learn({r["piece"] for r in top})
