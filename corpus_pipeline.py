@@ -4,6 +4,13 @@ Toxic documents go, then those that fail the quality rules, then all but one of
 each near-duplicate component; sources are mixed to target weights (a document
 may be drawn more than once), and the rest is encoded to pieces.
 
+Every stage but the last returns the columns of documents, of whatever further
+columns and names. Nulls: a null or empty text is scored like any other by the
+first stage and fails the quality rules; null ids stay apart by their texts;
+null sources are one source. Texts of any length are taken whole. Repeated
+rows are copies, of which one stays, the one whose other columns have the least
+hash; ties of ids go to the least id. An empty table gives an empty result.
+
 No stage can be told in SQL as a whole (the first learns a model), so ORACLE_SQL
 is None; tests hold every stage against a brute-force version.
 """
