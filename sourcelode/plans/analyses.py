@@ -137,7 +137,7 @@ def _symbol_graph(spark, sf):
 _REACHED = "R(name) AS (SELECT name FROM S WHERE regexp_matches(name, '^M[0-5]\\.f') OR regexp_matches(name, '\\.\\$[fc]') UNION SELECT dst FROM R JOIN E ON src = name)"
 
 
-@query(f"WITH RECURSIVE {_GRAPH}, {_REACHED}, U AS (SELECT * FROM S WHERE NOT th AND name NOT IN (SELECT name FROM R)) SELECT name, 'function' AS finding, file, line, 1 AS col, 0.9 AS confidence FROM U WHERE kind = 'function' UNION ALL SELECT name, 'type', file, line, 1, 0.85 FROM U WHERE kind = 'type' UNION ALL SELECT name, 'field', file, line, 1, 0.7 FROM U WHERE kind = 'function'")
+@query(f"WITH RECURSIVE {_GRAPH}, {_REACHED}, U AS (SELECT * FROM S WHERE NOT th AND name NOT IN (SELECT name FROM R)) SELECT name, 'function' AS finding, file, line, 1 AS col, 0.9::DOUBLE AS confidence FROM U WHERE kind = 'function' UNION ALL SELECT name, 'type', file, line, 1, 0.85 FROM U WHERE kind = 'type' UNION ALL SELECT name, 'field', file, line, 1, 0.7 FROM U WHERE kind = 'function'")
 def unused_symbols(spark, sf):
     s, e = _symbol_graph(spark, sf)
     return unused.detect(s, e, [r"^M[0-5]\.f"]).withColumn("confidence", F.col("confidence").cast("double"))

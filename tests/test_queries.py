@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from sourcelode.plans import catalog
+from sourcelode.plans import analyses, catalog  # noqa: F401  (analyses adds its queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
