@@ -246,7 +246,9 @@ def exact_hashes(spark, sf):
 
 @query("SELECT user_id, max(CASE WHEN ms < 1 THEN printf('%.2fµs', ms * 1000.0) WHEN ms < 1000 THEN printf('%.2fms', ms) WHEN ms < 60000 THEN printf('%.2fs', ms / 1000.0) ELSE printf('%.2fm', ms / 60000.0) END) AS longest FROM (SELECT user_id, floor(value * 97) AS ms FROM events) GROUP BY 1")
 def formatted_durations(spark, sf):
-    e = table(spark, sf, "events").select("user_id", F.floor(F.col("value") * 97).cast("double").alias("ms"))
+    ms = F.col("value") * 97
+    down = F.when(F.rint(ms) > ms, F.rint(ms) - 1).otherwise(F.rint(ms))  # floor() of Spark gives a long, without NaN and infinities
+    e = table(spark, sf, "events").select("user_id", down.alias("ms"))
     return e.groupBy("user_id").agg(F.max(scalars.format_duration(F.col("ms"))).alias("longest"))
 
 

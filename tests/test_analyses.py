@@ -202,3 +202,12 @@ def test_files_of_an_application_are_released(spark, tmp_path):
     assert kept.count() == 3 and spark.sparkContext.applicationId in folder and os.listdir(folder)
     session.release(spark)
     assert not os.path.exists(folder)
+
+
+def test_durations_round_as_printf(spark):
+    ms = [None, 1005.0, 2675.0, 4125.0, 8375.0, 59995.0, 0.005, 999.995, 1e6, float("nan"), float("inf"), -0.0]
+    unit = lambda x: "µs" if x < 1 else "ms" if x < 1000 else "s" if x < 60000 else "m"
+    scale = {"µs": lambda x: x * 1000, "ms": lambda x: x, "s": lambda x: x / 1000, "m": lambda x: x / 60000}
+    want = [None if x is None else f"{scale[unit(x)](x):.2f}{unit(x)}" for x in ms]
+    d = spark.createDataFrame(list(enumerate(ms)), "i int, ms double")
+    assert [r[0] for r in d.orderBy("i").select(scalars.format_duration(F.col("ms"))).collect()] == want
