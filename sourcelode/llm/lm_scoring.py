@@ -17,10 +17,14 @@ only, so what is sent back stays below a fixed multiple of the text.
 
 The filter grows with the corpus: a segment is as large as its entries need at
 PROBES probes, and no word or pair is left out. While all segments together
-stay within max_filter_mb they are broadcast. A larger filter stays where it
-is, and the probes travel: each chunk sends its distinct hashes to the shards
-and gets their levels back. Both ways probe the same bits and give the same
-scores. The base score is exact up to collisions of 64-bit hashes.
+stay within max_filter_mb they are broadcast. A larger filter is never put
+together: the hashes that chunks send for counting name all they will ask, so
+each shard probes its segment as soon as it is built, once for each distinct
+hash, and sends every chunk its levels back. A chunk keeps its distinct words and
+the order of its tokens, from which the pairs follow again. Both ways probe the
+same bits and give the same scores. Texts of more than TEXT_A_FILTER times the
+bound take the second way at once; others do if their filter turns out larger.
+The base score is exact up to collisions of 64-bit hashes.
 
 Edge cases: null or empty texts are one end token; a null doc_id trains and is
 not held out; rows with the same id and text share one result each; without
@@ -31,6 +35,7 @@ empty result; further columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,10 +44,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, fold_of, materialise, slim, table
+from .common import FOLD, drop_shuffles, fold_of, materialise, slim, table
 
 CHUNK_BYTES, CHUNK_DOCS, PROBES, BASE, MAX_FILTER_MB = 6_000_000, 60_000, 5, 1.5, 128
 SHARD_BYTES = 10_000_000  # of text, on average
+TEXT_A_FILTER = 8  # bytes of text for a byte of the filter, at least, where texts are prose
 FLOOR = 0.1
 START = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -124,11 +130,28 @@ def _wide(raw: bytes, n: int) -> np.ndarray:
 
 PACKED = "kind int, shard long, chunk long, a binary, b binary, c binary, d binary, n long, ids array<long>, keys array<long>, e binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("chunk", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("e", pa.binary())])
-WORDS, PAIRS, INFO, SUMS = 0, 1, 2, 3
+WORDS, PAIRS, INFO, SUMS, WORD_LEVELS, PAIR_LEVELS = 0, 1, 2, 3, 4, 5
 
 
-def _pack(bits: int):
-    """Task side of counting."""
+def _order(back: np.ndarray, words: np.ndarray) -> tuple[bytes, bytes]:
+    """The words from the most frequent down, and the places of the tokens among them, compressed by bytes of equal weight."""
+    by = np.argsort(-np.bincount(back, minlength=len(words)), kind="stable")
+    rank = np.empty(len(words), "<u4")
+    rank[by] = np.arange(len(words))
+    return words[by].tobytes(), zlib.compress(rank[back].view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _tokens(words: bytes, order: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the tokens, and their places among the sorted words."""
+    words = np.frombuffer(words, np.uint64)
+    rank = np.ascontiguousarray(np.frombuffer(zlib.decompress(order), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    place = np.empty(len(words), np.int64)
+    place[np.argsort(words)] = np.arange(len(words))
+    return words[rank], place[rank]
+
+
+def _pack(bits: int, ask: bool):
+    """Task side of counting; with ask, pairs outside training are sent too, and what puts the levels in order."""
     shift = np.uint64(64 - bits)
 
     def run(batches):
@@ -147,15 +170,21 @@ def _pack(bits: int):
                     p, q = first[a], first[b]
                     # hashes; training counts; documents per hash; then times and document of each
                     rows.append((WORDS, s, chunk, words[a:b].tobytes(), _narrow(learn[a:b]), _narrow(np.diff(first[a : b + 1])), _narrow(times[p:q]), q - p, None, None, _narrow(doc[p:q])))
-            rows.append((INFO, int(mixed(np.array([chunk], np.uint64))[0] & np.uint64((1 << bits) - 1)), chunk, _narrow(c.n_tokens), c.train.tobytes(), None, None, len(ids), ids, keys, None))
-            pair, _ = c.pairs()
-            pair, times = np.unique(pair[c.train[c.doc]] >> np.uint64(16), return_counts=True)
+            rows.append((INFO, int(mixed(np.array([chunk], np.uint64))[0] & np.uint64((1 << bits) - 1)), chunk, _narrow(c.n_tokens), c.train.tobytes(), *(_order(back, words) if ask else (None, None)), len(ids), ids, keys, None))
+            pair, learned = c.pairs()[0] >> np.uint64(16), c.train[c.doc]
+            if ask:
+                other, more = np.unique(pair[~learned], return_counts=True)
+                pair, times = np.unique(pair, return_counts=True)
+                times[np.searchsorted(pair, other)] -= more
+            else:
+                pair, times = np.unique(pair[learned], return_counts=True)
             cut = np.searchsorted(pair >> np.uint64(48 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(pair)])
-            six = pair.view(np.uint8).reshape(-1, 8)[:, :6]
+            low, high = (pair & _LOW).astype(np.uint32), (pair >> np.uint64(32)).astype(np.int64)
             for s in range(1 << bits):
                 a, b = cut[s], cut[s + 1]
                 if a < b:
-                    rows.append((PAIRS, s, chunk, np.ascontiguousarray(six[a:b]).tobytes(), _narrow(times[a:b]), None, None, b - a, None, None, None))
+                    # hashes are sorted: their low halves, times, and how many there are of each upper half that the shard holds
+                    rows.append((PAIRS, s, chunk, low[a:b].tobytes(), _narrow(times[a:b]), _narrow(np.bincount(high[a:b] - (s << 16 - bits), minlength=1 << 16 - bits)), None, b - a, None, None, None))
             for i in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[i : i + 64]), _SCHEMA)], schema=_SCHEMA)
 
@@ -188,23 +217,36 @@ def segment(h: np.ndarray, counts: np.ndarray) -> bytes:
     return bits.tobytes()
 
 
-def _reduce():
-    """Shard side: totals, filter segments and base-score sums."""
-    out = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("chunk", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("z", pa.float64()), ("ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+def _reduce(bits: int, ask: bool):
+    """Shard side: totals, filter segments or, with ask, the levels they give, and base-score sums."""
+    out = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("chunk", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("z", pa.float64()), ("ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+
+    def filled(kind, shard, h, total, back, rows, sizes):
+        """The segment, or what it says of each row's hashes."""
+        some, z = total > 0, 0.0
+        raw = segment(h[some], total[some])
+        if kind == WORDS:
+            z = float(VALUE[level_of(total[some])].sum())
+        made = [(kind, shard, 0, None if ask else raw, None, None, None, int(total.sum()), int(some.sum()), z, None, None)]
+        if ask:
+            levels = Filter(0, {0: raw}, 64).levels(h)[back]
+            of = WORD_LEVELS if kind == WORDS else PAIR_LEVELS
+            made += [(of, shard, r["chunk"], levels[end - n : end].tobytes(), None, None, None, n, 0, 0.0, None, None) for r, n, end in zip(rows, sizes, np.cumsum(sizes))]
+        return made
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         kind, shard = rows[0]["kind"], rows[0]["shard"]
         made = []
         if kind == INFO:
-            made = [(INFO, shard, r["chunk"], r["a"], r["b"], None, r["n"], 0, 0.0, r["ids"], r["keys"]) for r in rows]
+            made = [(INFO, shard, r["chunk"], r["a"], r["b"], r["c"], r["d"], r["n"], 0, 0.0, r["ids"], r["keys"]) for r in rows]
         elif kind == PAIRS:
-            six = np.frombuffer(b"".join(r["a"] for r in rows), np.uint8).reshape(-1, 6)
-            h = np.zeros((len(six), 8), np.uint8)
-            h[:, :6] = six
-            pair, back = np.unique(h.view(np.uint64).ravel(), return_inverse=True)
+            uppers = np.arange(shard << 16 - bits, (shard + 1) << 16 - bits).astype(np.uint64) << np.uint64(32)
+            high = np.concatenate([np.repeat(uppers, _wide(r["c"], len(uppers))) for r in rows])
+            pair, back = np.unique(high | np.frombuffer(b"".join(r["a"] for r in rows), np.uint32), return_inverse=True)
+            del high
             total = np.bincount(back, np.concatenate([_wide(r["b"], r["n"]) for r in rows])).astype(np.int64)
-            made = [(PAIRS, shard, 0, segment(pair, total), None, None, int(total.sum()), len(pair), 0.0, None, None)]
+            made = filled(PAIRS, shard, pair, total, back, rows, [r["n"] for r in rows])
         else:
             h = np.frombuffer(b"".join(r["a"] for r in rows), np.uint64)
             word, back = np.unique(h, return_inverse=True)
@@ -218,79 +260,32 @@ def _reduce():
                 some, where = np.unique(doc), None
                 if 2 * len(some) < len(sums):
                     sums, counts, where = sums[some], counts[some], _narrow(some)
-                made.append((SUMS, shard, r["chunk"], sums.tobytes(), _narrow(counts), where, len(sums), 0, 0.0, None, None))
-            word, total = word[known], total[known]
-            z = float(VALUE[level_of(total)].sum())
-            made.append((WORDS, shard, 0, segment(word, total), None, None, int(total.sum()), len(word), z, None, None))
+                made.append((SUMS, shard, r["chunk"], sums.tobytes(), _narrow(counts), where, None, len(sums), 0, 0.0, None, None))
+            made += filled(WORDS, shard, word, total, back, rows, sizes.tolist())
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made), out)], schema=out)
 
-    return run, "kind int, shard long, chunk long, a binary, b binary, c binary, n long, v long, z double, ids array<long>, keys array<long>"
-
-
-_ANSWER = "kind int, shard long, chunk long, a binary, b binary, c binary, d binary, n long, ids array<long>, keys array<long>"
-
-
-def _ask(bits: int):
-    """Task side of probing a filter that is too large to broadcast: distinct hashes to their shards, and what puts the answers in order."""
-
-    def run(batches):
-        base = TaskContext.get().partitionId() << 32
-        for at, (ids, keys, c) in enumerate(chunks(batches)):
-            chunk, rows, order = base + at, [], []
-            for kind, h, width in ((WORDS, c.hashes, 64), (PAIRS, c.pairs()[0] >> np.uint64(16), 48)):
-                h, back = np.unique(h, return_inverse=True)
-                order.append(_narrow(back))
-                cut = np.searchsorted(h >> np.uint64(width - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(h)])
-                for s in range(1 << bits):
-                    a, b = cut[s], cut[s + 1]
-                    if a < b:
-                        rows.append((kind, s, chunk, h[a:b].tobytes(), None, None, None, b - a, None, None))
-            rows.append((INFO, 0, chunk, _narrow(c.n_tokens), c.train.tobytes(), *order, len(ids), ids, keys))
-            fields = [f for f in _SCHEMA if f.name != "e"]
-            for i in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[i : i + 64]), fields)], schema=pa.schema(fields))
-
-    return run
-
-
-def _answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-    """Shard side: the levels of the hashes that chunks ask for, from the shard's segment."""
-    raw = held.column("a")[0].as_py() if held.num_rows else bytes(8)
-    part, levels = Filter(0, {0: raw}, 64), []
-    for h in asked.column("a"):
-        levels.append(part.levels(np.frombuffer(h.as_py(), np.uint64)).tobytes())
-    return asked.set_column(asked.schema.get_field_index("a"), "a", pa.array(levels, pa.binary()))
+    return run, "kind int, shard long, chunk long, a binary, b binary, c binary, d binary, n long, v long, z double, ids array<long>, keys array<long>"
 
 
 def _ordered(table: pa.Table) -> pa.Table:
     """Chunk side: the levels of each document's tokens in order."""
     rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["shard"]))
     info = next(r for r in rows if r["kind"] == INFO)
-    ends = np.cumsum(_wide(info["a"], info["n"]))
+    n_tokens, train = _wide(info["a"], info["n"]), np.frombuffer(info["b"], bool)
+    ends = np.cumsum(n_tokens)
+    hashes, back = _tokens(info["c"], info["d"])
+    c = Chunk(hashes, np.repeat(np.arange(len(n_tokens)), n_tokens), train, n_tokens)
     out = []
-    for kind, order in ((WORDS, info["c"]), (PAIRS, info["d"])):
+    for kind, order in ((WORD_LEVELS, back), (PAIR_LEVELS, np.unique(c.pairs()[0] >> np.uint64(16), return_inverse=True)[1])):
         levels = np.frombuffer(b"".join(r["a"] for r in rows if r["kind"] == kind), np.uint8)
-        raw = levels[_wide(order, ends[-1])].tobytes()
+        raw = levels[order].tobytes()
         out.append(pa.array([raw[a:b] for a, b in zip([0, *ends[:-1]], ends)], pa.binary()))
-    train = np.frombuffer(info["b"], bool)
     return pa.table({"doc_id": pa.array(info["ids"], pa.int64()), "thash": pa.array(info["keys"], pa.int64()), "train": pa.array(train), "words": out[0], "pairs": out[1]})
 
 
 LEVELS_OF = "doc_id long, thash long, train boolean, words binary, pairs binary"
 
 
-def _probe_at_shards(rows: DataFrame, counted: DataFrame, bits: int) -> DataFrame:
-    """What probing a broadcast filter gives, with the probes sent to the segments instead."""
-    asked = materialise(rows.mapInArrow(_ask(bits), _ANSWER), "lm-asked")
-    segments = counted.where(F.col("kind").isin(WORDS, PAIRS)).select("kind", "shard", "a")
-    answers = asked.where(F.col("kind") != INFO).groupBy("kind", "shard").cogroup(segments.groupBy("kind", "shard")).applyInArrow(_answer_or_nothing, _ANSWER)
-    return answers.unionByName(asked.where(F.col("kind") == INFO)).groupBy("chunk").applyInArrow(_ordered, LEVELS_OF)
-
-
-def _answer_or_nothing(asked: pa.Table, held: pa.Table) -> pa.Table:
-    return _answer(asked, held) if asked.num_rows else pa.Table.from_batches([], asked.schema)
-
-
 class Filter:
     """The broadcast filter: bits of all segments of words or pairs."""
 
@@ -399,17 +394,22 @@ def lm_scores(docs: DataFrame, train_fold=None, max_filter_mb: int = MAX_FILTER_
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("thash"), train.alias("train"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(16, max(2, math.ceil(math.log2(size / SHARD_BYTES + 1))))  # 65,536 shards hold 650 GB of text at that size, and grow beyond it
-    packed = rows.mapInArrow(_pack(bits), PACKED)
-    reduce, schema = _reduce()
-    counted = materialise(packed.groupBy("kind", "shard").applyInArrow(reduce, schema), "lm-counts")
 
+    def count(ask: bool) -> DataFrame:
+        reduce, schema = _reduce(bits, ask)
+        return materialise(rows.mapInArrow(_pack(bits, ask), PACKED).groupBy("kind", "shard").applyInArrow(reduce, schema), "lm-counts")
+
+    limit = max_filter_mb << 20
+    at_shards = size > TEXT_A_FILTER * limit
+    counted = count(at_shards)
+    if not at_shards and (counted.where(F.col("kind").isin(WORDS, PAIRS)).agg(F.sum(F.length("a"))).first()[0] or 0) > limit:
+        at_shards, counted = True, count(True)
     totals = counted.where(F.col("kind") == WORDS).agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("z").alias("z")).first()
     n_tokens, n_words, z = totals["n"] or 0, totals["v"] or 0, totals["z"] or 0.0
     n_docs = counted.where(F.col("kind") == INFO).select(F.sum(F.length(F.translate(F.hex("b"), "0", "")))).first()[0] or 0
     model = Model(None, None, z, n_words, n_docs)
-    segments = counted.where(F.col("kind").isin(WORDS, PAIRS)).select("kind", "shard", "a")
-    whole = segments.agg(F.sum(F.length("a"))).first()[0] or 0
-    if whole <= max_filter_mb << 20:
+    if not at_shards:
+        segments = counted.where(F.col("kind").isin(WORDS, PAIRS)).select("kind", "shard", "a")
         found: dict[int, dict] = {WORDS: {}, PAIRS: {}}
         for r in segments.toLocalIterator():  # max_filter_mb at most
             found[r["kind"]][r["shard"]] = bytes(r["a"])
@@ -429,9 +429,14 @@ def lm_scores(docs: DataFrame, train_fold=None, max_filter_mb: int = MAX_FILTER_
 
         levels = rows.mapInArrow(probe, LEVELS_OF)
     else:
-        levels = _probe_at_shards(rows, counted, bits)
+        asked = counted.where(F.col("kind").isin(INFO, WORD_LEVELS, PAIR_LEVELS)).select("kind", "shard", "chunk", "a", "b", "c", "d", "n", "ids", "keys")
+        levels = asked.groupBy("chunk").applyInArrow(_ordered, LEVELS_OF)
     # two bytes a token, read twice: to fit the weights, and to score
+    if at_shards:
+        drop_shuffles(spark)
     probed = materialise(levels, "lm-levels")
+    if at_shards:
+        drop_shuffles(spark)
     model.words = model.pairs = None
     plain = spark.sparkContext.broadcast(model)
 
@@ -470,7 +475,7 @@ def lm_scores(docs: DataFrame, train_fold=None, max_filter_mb: int = MAX_FILTER_
         tokens = _wide(info["a"], info["n"])
         return pa.table({"doc_id": pa.array(info["ids"], pa.int64()), "thash": pa.array(info["keys"], pa.int64()), "n_known": known, "base_score": total - tokens * bottom})
 
-    sums = counted.where(F.col("kind").isin(INFO, SUMS)).select("kind", "chunk", "a", "b", "c", "n", "ids", "keys")
+    sums = counted.where(F.col("kind").isin(INFO, SUMS)).select("kind", "chunk", "a", "b", F.when(F.col("kind") == SUMS, F.col("c")).alias("c"), "n", "ids", "keys")
     based = sums.groupBy("chunk").applyInArrow(base, "doc_id long, thash long, n_known long, base_score double").dropDuplicates(["doc_id", "thash"])
     joined = scored.alias("s").join(based.alias("b"), (F.col("s.thash") == F.col("b.thash")) & F.col("s.doc_id").eqNullSafe(F.col("b.doc_id")), "left")
     return joined.select(

@@ -89,3 +89,16 @@ def test_many_shards_send_sparse_sums(spark, monkeypatch):
     key = lambda x: (str(x[0]), x[2], round(x[5], 6))
     a, b = sorted([tuple(r)[:6] for r in got], key=key), sorted(brute(rows), key=key)
     assert [x[:5] for x in a] == [x[:5] for x in b] and np.allclose([x[5] for x in a], [x[5] for x in b], rtol=1e-9)
+
+
+def test_a_large_filter_is_asked_once_for_each_hash(spark, monkeypatch):
+    """The levels of both kinds come from counting: texts are read no second time, and no hash is sent again."""
+    docs = spark.createDataFrame([(i, f"a w{i % 7} b w{i % 5} a b") for i in range(300)], "doc_id long, text string").repartition(3)
+    made, keep = [], m.materialise
+    monkeypatch.setattr(m, "materialise", lambda df, label: (made.append(label), keep(df, label))[1])
+    got = sorted(m.lm_scores(docs, max_filter_mb=0).collect())
+    assert made == ["lm-counts", "lm-levels"]
+    monkeypatch.setattr(m, "TEXT_A_FILTER", 10**9)  # the bound is found out only after counting
+    late = sorted(m.lm_scores(docs, max_filter_mb=0).collect())
+    assert [(r.doc_id, round(r.score, 9)) for r in late] == [(r.doc_id, round(r.score, 9)) for r in got]
+    assert [(r.doc_id, round(r.score, 9)) for r in sorted(m.lm_scores(docs).collect())] == [(r.doc_id, round(r.score, 9)) for r in got]
