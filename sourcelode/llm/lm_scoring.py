@@ -20,8 +20,8 @@ PROBES probes, and no word or pair is left out. While all segments together
 stay within max_filter_mb they are broadcast. A larger filter is never put
 together: the hashes that chunks send for counting name all they will ask, so
 each shard probes its segment as soon as it is built, once for each distinct
-hash, and sends every chunk its levels back. A chunk keeps its distinct words and
-the order of its tokens, from which the pairs follow again. Both ways probe the
+hash, and sends every chunk its levels back. A chunk keeps the order of its
+tokens, from which the pairs follow again. Both ways probe the
 same bits and give the same scores. Texts of more than TEXT_A_FILTER times the
 bound take the second way at once; others do if their filter turns out larger.
 The base score is exact up to collisions of 64-bit hashes.
@@ -133,21 +133,28 @@ _SCHEMA = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("chunk", pa.i
 WORDS, PAIRS, INFO, SUMS, WORD_LEVELS, PAIR_LEVELS = 0, 1, 2, 3, 4, 5
 
 
-def _order(back: np.ndarray, words: np.ndarray) -> tuple[bytes, bytes]:
-    """The words from the most frequent down, and the places of the tokens among them, compressed by bytes of equal weight."""
-    by = np.argsort(-np.bincount(back, minlength=len(words)), kind="stable")
-    rank = np.empty(len(words), "<u4")
-    rank[by] = np.arange(len(words))
-    return words[by].tobytes(), zlib.compress(rank[back].view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+TOP_WORDS = 4096
 
 
-def _tokens(words: bytes, order: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the tokens, and their places among the sorted words."""
-    words = np.frombuffer(words, np.uint64)
+def _ranked(top: np.ndarray, n: int) -> np.ndarray:
+    """Places of n sorted words, those of top first."""
+    rest = np.ones(n, bool)
+    rest[top] = False
+    return np.r_[top, np.flatnonzero(rest)]
+
+
+def _order(back: np.ndarray, n: int) -> tuple[bytes, bytes]:
+    """Places of the most frequent words, and the tokens' places when those come first, compressed by bytes of equal weight."""
+    top = np.argsort(-np.bincount(back, minlength=n), kind="stable")[:TOP_WORDS]
+    rank = np.empty(n, "<u4")
+    rank[_ranked(top, n)] = np.arange(n)
+    return top.astype("<u4").tobytes(), zlib.compress(rank[back].view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _places(top: bytes, order: bytes, n: int) -> np.ndarray:
+    """The places of the tokens among n sorted words."""
     rank = np.ascontiguousarray(np.frombuffer(zlib.decompress(order), np.uint8).reshape(4, -1).T).view("<u4").ravel()
-    place = np.empty(len(words), np.int64)
-    place[np.argsort(words)] = np.arange(len(words))
-    return words[rank], place[rank]
+    return _ranked(np.frombuffer(top, "<u4").astype(np.int64), n)[rank]
 
 
 def _pack(bits: int, ask: bool):
@@ -170,7 +177,7 @@ def _pack(bits: int, ask: bool):
                     p, q = first[a], first[b]
                     # hashes; training counts; documents per hash; then times and document of each
                     rows.append((WORDS, s, chunk, words[a:b].tobytes(), _narrow(learn[a:b]), _narrow(np.diff(first[a : b + 1])), _narrow(times[p:q]), q - p, None, None, _narrow(doc[p:q])))
-            rows.append((INFO, int(mixed(np.array([chunk], np.uint64))[0] & np.uint64((1 << bits) - 1)), chunk, _narrow(c.n_tokens), c.train.tobytes(), *(_order(back, words) if ask else (None, None)), len(ids), ids, keys, None))
+            rows.append((INFO, int(mixed(np.array([chunk], np.uint64))[0] & np.uint64((1 << bits) - 1)), chunk, _narrow(c.n_tokens), c.train.tobytes(), *(_order(back, len(words)) if ask else (None, None)), len(ids), ids, keys, None))
             pair, learned = c.pairs()[0] >> np.uint64(16), c.train[c.doc]
             if ask:
                 other, more = np.unique(pair[~learned], return_counts=True)
@@ -231,7 +238,7 @@ def _reduce(bits: int, ask: bool):
         if ask:
             levels = Filter(0, {0: raw}, 64).levels(h)[back]
             of = WORD_LEVELS if kind == WORDS else PAIR_LEVELS
-            made += [(of, shard, r["chunk"], levels[end - n : end].tobytes(), None, None, None, n, 0, 0.0, None, None) for r, n, end in zip(rows, sizes, np.cumsum(sizes))]
+            made += [(of, shard, r["chunk"], levels[end - n : end].tobytes(), r["a"] if kind == WORDS else None, None, None, n, 0, 0.0, None, None) for r, n, end in zip(rows, sizes, np.cumsum(sizes))]
         return made
 
     def run(table: pa.Table) -> pa.Table:
@@ -273,8 +280,10 @@ def _ordered(table: pa.Table) -> pa.Table:
     info = next(r for r in rows if r["kind"] == INFO)
     n_tokens, train = _wide(info["a"], info["n"]), np.frombuffer(info["b"], bool)
     ends = np.cumsum(n_tokens)
-    hashes, back = _tokens(info["c"], info["d"])
-    c = Chunk(hashes, np.repeat(np.arange(len(n_tokens)), n_tokens), train, n_tokens)
+    words = np.frombuffer(b"".join(r["b"] for r in rows if r["kind"] == WORD_LEVELS), np.uint64)
+    back = _places(info["c"], info["d"], len(words))
+    c = Chunk(words[back], np.repeat(np.arange(len(n_tokens), dtype=np.int32), n_tokens), train, n_tokens)
+    pa.default_memory_pool().release_unused()
     out = []
     for kind, order in ((WORD_LEVELS, back), (PAIR_LEVELS, np.unique(c.pairs()[0] >> np.uint64(16), return_inverse=True)[1])):
         levels = np.frombuffer(b"".join(r["a"] for r in rows if r["kind"] == kind), np.uint8)
@@ -397,7 +406,7 @@ def lm_scores(docs: DataFrame, train_fold=None, max_filter_mb: int = MAX_FILTER_
 
     def count(ask: bool) -> DataFrame:
         reduce, schema = _reduce(bits, ask)
-        return materialise(rows.mapInArrow(_pack(bits, ask), PACKED).groupBy("kind", "shard").applyInArrow(reduce, schema), "lm-counts")
+        return materialise(rows.mapInArrow(_pack(bits, ask), PACKED).groupBy("kind", "shard").applyInArrow(reduce, schema), "lm-counts", compression="zstd")
 
     limit = max_filter_mb << 20
     at_shards = size > TEXT_A_FILTER * limit

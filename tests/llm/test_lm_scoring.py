@@ -95,7 +95,7 @@ def test_a_large_filter_is_asked_once_for_each_hash(spark, monkeypatch):
     """The levels of both kinds come from counting: texts are read no second time, and no hash is sent again."""
     docs = spark.createDataFrame([(i, f"a w{i % 7} b w{i % 5} a b") for i in range(300)], "doc_id long, text string").repartition(3)
     made, keep = [], m.materialise
-    monkeypatch.setattr(m, "materialise", lambda df, label: (made.append(label), keep(df, label))[1])
+    monkeypatch.setattr(m, "materialise", lambda df, label, **options: (made.append(label), keep(df, label, **options))[1])
     got = sorted(m.lm_scores(docs, max_filter_mb=0).collect())
     assert made == ["lm-counts", "lm-levels"]
     monkeypatch.setattr(m, "TEXT_A_FILTER", 10**9)  # the bound is found out only after counting
